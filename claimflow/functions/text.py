@@ -57,26 +57,37 @@ def iso_date(c: Column) -> Column:
     return F.when(F.length(c) == 8, dashed).otherwise("")
 
 
-def round_half_even(c: Column, digits: int, bits: int = 61) -> Column:
-    """Round a non-negative double by its exact binary value, ties to even.
+# (upper bound, power of two): below the bound a double times that power is a whole number that
+# fits 63 bits, down to the lower neighbour's bound. Values under 2**-21 round to zero at 6 digits.
+_SCALES = [(2.0 ** -11, 73), (2.0 ** -2, 63), (2.0, 61), (2.0 ** 10, 52)]
+
+
+def round_half_even(c: Column, digits: int) -> Column:
+    """Round a non-negative double by its exact binary value, ties to even; up to six digits.
 
     ``round`` and ``bround`` look at the shortest decimal spelling, so 0.84875 (which is stored
     a little below that) goes the wrong way. Here the value is scaled by a power of two, which is
-    exact, and the remainder is compared in integers. ``bits`` bounds the value: it must stay
-    below 2 ** (63 - bits), so 61 serves confidences in [0, 1] and 52 values up to 2047.
+    exact, and the remainder is compared in integers. From 1024 on plain ``round`` serves.
     """
-    one = F.lit(2 ** bits).cast("decimal(38,0)")
     unit = F.lit(10 ** digits).cast("decimal(10,0)")
 
-    def rounded(scaled: Column) -> Column:
-        number = (scaled * unit).cast("decimal(38,0)")
-        rest = number % one
-        whole = ((number - rest) / one).cast("decimal(20,0)")
-        up = (rest * 2 > one) | ((rest * 2 == one) & (whole % 2 == 1))
+    def split(x: Column) -> Column:
+        parts = F.lit(None).cast("struct<s:decimal(20,0),o:decimal(38,0)>")
+        for bound, bits in reversed(_SCALES):
+            half = F.lit(2 ** (bits // 2)).cast("decimal(38,0)")
+            one = (half * F.lit(2 ** (bits - bits // 2)).cast("decimal(38,0)")).cast("decimal(38,0)")
+            scaled = F.floor(x * F.lit(2.0 ** bits)).cast("decimal(20,0)")
+            parts = F.when(x < bound, F.struct(scaled.alias("s"), one.alias("o"))).otherwise(parts)
+        return parts
+
+    def rounded(p: Column) -> Column:
+        number = (p["s"] * unit).cast("decimal(38,0)")
+        rest = number % p["o"]
+        whole = ((number - rest) / p["o"]).cast("decimal(20,0)")
+        up = (rest * 2 > p["o"]) | ((rest * 2 == p["o"]) & (whole % 2 == 1))
         return (whole + up.cast("decimal(1,0)")).cast("double") / float(10 ** digits)
 
-    scaled = F.floor(c * F.lit(float(2 ** bits))).cast("bigint").cast("decimal(20,0)")
-    return let(scaled, rounded)
+    return let(c, lambda x: F.coalesce(let(split(x), rounded), F.round(x, digits)))
 
 
 def let(c: Column, use: Callable[[Column], Column]) -> Column:
@@ -84,9 +95,9 @@ def let(c: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(c), use), F.lit(0))
 
 
-def fixed_point(c: Column, digits: int, bits: int = 61) -> Column:
+def fixed_point(c: Column, digits: int) -> Column:
     """Text of a number with a fixed count of decimals."""
-    return F.format_string(f"%.{digits}f", round_half_even(c, digits, bits))
+    return F.format_string(f"%.{digits}f", round_half_even(c, digits))
 
 
 def quoted_list(c: Column) -> Column:

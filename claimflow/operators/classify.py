@@ -15,6 +15,7 @@ from ..fixed import (
     CLASSIFY_SYSTEM, HIGH_PRIORITY, HL7_MESSAGES, MODEL_EXCERPT, QUEUES, REVIEW_QUEUE, RULES,
     RULES_THRESHOLD, SOURCE_HINT_CONFIDENCE, TEXT_MODEL_THRESHOLD, WEBHOOK_EVENTS,
 )
+from ..functions.fence import settle
 from ..functions.jsontext import is_object, outer_object, without_fences
 from ..functions.text import lines, round_half_even, strip
 from ..schemas import DOCUMENT_TYPES
@@ -150,11 +151,11 @@ def cascade(df: DataFrame, model=None, call: Callable[[str, str], str] | None =
         out = out.otherwise(result(F.lit("unknown"), F.lit(0.0), "no_signal"))
     decided = df.withColumn("_c", out)
     c = F.col("_c")
-    return decided.withColumn("classification", F.struct(
+    return settle(decided.withColumn("classification", F.struct(
         c["document_type"].alias("document_type"), c["confidence"].alias("confidence"),
         c["runner_up_type"].alias("runner_up_type"), c["runner_up_conf"].alias("runner_up_conf"),
         c["method"].alias("method"), routing_queue(c["document_type"]).alias("routing_queue"),
-    )).drop("_hint", "_top", "_second", "_c", "signals", *extra)
+    )).drop("_hint", "_top", "_second", "_c", "signals", *extra))
 
 
 def close_out(df: DataFrame) -> DataFrame:

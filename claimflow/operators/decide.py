@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed as fx
 from ..functions import fields as fl
+from ..functions.fence import settle
 from ..functions.text import fixed_point, quoted_list
 from .lookup import lookup_join
 
@@ -30,7 +31,7 @@ OUTPUT_FIELDS = [
 
 def flatten_fields(df: DataFrame) -> DataFrame:
     """Add ``x``: plain values, scalars as text and code lists as arrays."""
-    return df.withColumn("x", fl.flat(F.col("fields")))
+    return settle(df.withColumn("x", fl.flat(F.col("fields"))))
 
 
 def _output(**cols: Column) -> Column:
@@ -59,14 +60,14 @@ def _step(node: str, agent: str, **detail: Column) -> Column:
 def _state(df: DataFrame, status: Column, reason: Column, output: Column, errors: Column,
            steps: list[Column], agent: str) -> DataFrame:
     waiting = status == "needs_hitl"
-    return df.withColumn("agent", F.struct(
+    return settle(df.withColumn("agent", F.struct(
         F.lit(agent).alias("agent"), status.alias("status"), waiting.alias("hitl_required"),
         F.when(waiting, reason).otherwise(F.lit("")).alias("hitl_reason"),
         output.alias("output"), errors.alias("errors"),
         F.transform(F.array_compact(F.array(*steps)), lambda s: F.struct(
             s["node"].alias("node"), s["agent"].alias("agent"), F.col("decided_at").alias("ts"),
             s["detail"].alias("detail"))).alias("audit_trail"),
-    ))
+    )))
 
 
 def _no_errors() -> Column:

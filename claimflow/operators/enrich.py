@@ -10,6 +10,7 @@ from ..fixed import (
     REVIEW_THRESHOLD,
 )
 from ..functions import fields as fl
+from ..functions.fence import settle
 from ..functions.text import round_half_even
 from .lookup import BROADCAST_ROWS, LITERAL_ROWS, lookup_join
 
@@ -109,12 +110,12 @@ def ocr_penalty(df: DataFrame) -> DataFrame:
     df = df.withColumn("fields", F.when(hit, lowered).otherwise(F.col("fields")))
     counted = F.filter("fields", lambda f: f["field_name"] != "denial_reason_codes")
     df = df.withColumn("_counted", F.when(hit, counted))
-    return df.withColumns({
+    return settle(df.withColumns({
         "mean_confidence": F.when(hit, round_half_even(fl.mean_confidence(F.col("_counted")), 4))
         .otherwise(F.col("mean_confidence")),
         "low_conf_fields": F.when(hit, fl.low_names(F.col("_counted"), LOW_FIELD))
         .otherwise(F.col("low_conf_fields")),
-    }).drop("_counted")
+    }).drop("_counted"))
 
 
 def completeness(fields: Column) -> Column:

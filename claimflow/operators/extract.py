@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .. import fixed as fx
 from ..functions import fields as fl
 from ..functions import segments as seg
+from ..functions.fence import settle
 from ..functions.jsontext import STRICT, is_json, object_map
 from ..functions.text import iso_date, strip, text_or_empty, title_case
 from ..schemas import EVENT_JSON, FHIR_JSON, LIST_FIELDS, SCALAR_FIELDS
@@ -238,4 +239,4 @@ def extract_builtin(df: DataFrame, text: str = "safe_text",
     """Add ``fields``, ``reply_words`` and ``extraction_error``."""
     parsed = parse_document(df, text, max_chars)
     packed = pack_fields(parsed.withColumn("reply_words", reply_words()))
-    return packed.drop("kind", "base_confidence", *[f"v_{n}" for n in SCALAR_FIELDS + LIST_FIELDS])
+    return settle(packed.drop("kind", "base_confidence", *[f"v_{n}" for n in SCALAR_FIELDS + LIST_FIELDS]))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..fixed import DEFAULT_PRICE, PRICES
-from ..functions.text import tokens, word_count
+from ..functions.text import round_half_even, tokens, word_count
 from .lookup import lookup_join
 
 
@@ -18,7 +18,7 @@ def price(model: Column) -> Column:
 
 
 def cost(input_tokens: Column, output_tokens: Column, rate: Column) -> Column:
-    return F.round((input_tokens + output_tokens) / 1000 * rate, 6)
+    return round_half_even((input_tokens + output_tokens) / 1000 * rate, 6)
 
 
 def token_cost(df: DataFrame, system: str, user: str, reply: str, model: str = "model",

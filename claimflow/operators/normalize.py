@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..fixed import LOW_OCR_BLOCK
 from ..functions import segments as seg
+from ..functions.fence import settle
 from ..functions.jsontext import STRICT, is_object
 from ..functions.text import blank_to_null, round_half_even, strip, text_or_empty
 from ..schemas import FAX_JSON, FHIR_JSON, SOURCE_TYPES, WEBHOOK_JSON
@@ -47,7 +48,7 @@ def assemble_ocr(df: DataFrame, blocks: str = "blocks") -> DataFrame:
     conf = F.transform(F.sort_array(F.transform(b, lambda x: F.struct(x["ord"], x["conf"]))),
                        lambda x: x["conf"])
     sums = F.aggregate(conf, F.lit(0.0), lambda a, x: a + x)
-    mean = F.when(F.size(b) > 0, round_half_even(sums / F.size(b), 2, bits=55)).otherwise(0.0)
+    mean = F.when(F.size(b) > 0, round_half_even(sums / F.size(b), 2)).otherwise(0.0)
     weak = F.transform(
         F.filter(F.sort_array(F.transform(b, lambda x: F.struct(
             x["ord"].alias("ord"), x["text"].alias("text"), x["conf"].alias("conf"),
@@ -141,7 +142,7 @@ STRUCTURED = [
 
 def normalize_hl7(df: DataFrame, text: str = "full_text") -> DataFrame:
     parsed = df.withColumn("_hl7", seg.hl7_segments(strip(F.col(text))))
-    return _clean(parsed.withColumns(hl7_columns(F.col("_hl7")))).drop("_hl7")
+    return settle(_clean(parsed.withColumns(hl7_columns(F.col("_hl7")))).drop("_hl7"))
 
 
 def normalize_fhir(df: DataFrame, text: str = "full_text") -> DataFrame:
@@ -151,12 +152,12 @@ def normalize_fhir(df: DataFrame, text: str = "full_text") -> DataFrame:
         "_claim": fhir_resource(F.col("_fhir"), "Claim"),
     })
     cols = fhir_columns(F.col("_patient"), F.col("_coverage"), F.col("_claim"))
-    return _clean(parsed.withColumns(cols)).drop("_fhir", "_patient", "_coverage", "_claim")
+    return settle(_clean(parsed.withColumns(cols)).drop("_fhir", "_patient", "_coverage", "_claim"))
 
 
 def normalize_edi(df: DataFrame, text: str = "full_text") -> DataFrame:
     parsed = df.withColumn("_edi", seg.edi_segments(F.col(text)))
-    return _clean(parsed.withColumns(edi_columns(F.col("_edi")))).drop("_edi")
+    return settle(_clean(parsed.withColumns(edi_columns(F.col("_edi")))).drop("_edi"))
 
 
 def _clean(df: DataFrame) -> DataFrame:
@@ -217,13 +218,13 @@ def payloads(raw: DataFrame, bucket: str = "sim-bucket") -> DataFrame:
     source_type = F.lit(None).cast("string")
     for name, stype in SOURCE_TYPES.items():
         source_type = F.when(source == name, F.lit(stype)).otherwise(source_type)
-    return (
+    return settle(
         parsed.withColumn("content_type", content_type)
         .select(
             "source", "file",
             F.concat_ws("/", "source", "file").alias("record_id"),
             source_type.alias("source_type"),
-            F.when(source == "fax", fax["s3_key"]).otherwise(F.col("file")).alias("source_id"),
+            F.coalesce(F.when(source == "fax", fax["s3_key"]), F.col("file")).alias("source_id"),
             "content_type", metadata.alias("raw_metadata"),
             text_or_empty(F.when(source == "fax", F.col("ocr.full_text"))
                           .when(source == "webhook", web["body"])
@@ -279,7 +280,7 @@ def to_canonical(payload: DataFrame, run_ts: Column | None = None) -> DataFrame:
         F.coalesce(bad_fhir, F.lit(False)) | F.coalesce(no_code, F.lit(False)),
         F.lit("ingestion: bundle with an untyped resource or an uncoded entry")))
     when = run_ts if run_ts is not None else F.current_timestamp()
-    return _clean(
+    return settle(_clean(
         parsed.withColumns(structured).withColumn("error", error).select(
             document_key().alias("document_id"), "record_id", "source", "file", "source_id",
             "source_type", F.lit("unknown").alias("document_type"), when.alias("ingested_at"),
@@ -289,7 +290,7 @@ def to_canonical(payload: DataFrame, run_ts: Column | None = None) -> DataFrame:
             F.when(F.col("error").isNotNull(), F.lit("failed")).alias("disposition"),
             *carried,
         )
-    )
+    ))
 
 
 def normalize(raw: DataFrame, run_ts: Column | None = None, bucket: str = "sim-bucket") -> DataFrame:

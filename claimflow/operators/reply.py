@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..fixed import LOW_FIELD
 from ..functions import fields as fl
+from ..functions.fence import settle
 from ..functions.jsontext import is_json, is_object, object_map, outer_object, without_fences
 from ..functions.text import round_half_even
 from ..schemas import FIELDS, LIST_FIELDS, SCALAR_FIELDS
@@ -63,7 +64,7 @@ def parse_reply(df: DataFrame, reply: str = "reply") -> DataFrame:
     ok = F.col("extraction_error").isNull()
     known = F.filter("_parsed", lambda f: f["field_name"].isin(SCALAR_FIELDS + LIST_FIELDS))
     none = F.array().cast("array<string>")
-    return df.withColumns({
+    return settle(df.withColumns({
         "fields": F.when(ok, known).otherwise(fl.none()),
         "mean_confidence": F.when(ok, round_half_even(fl.mean_confidence(F.col("_parsed")), 4))
         .otherwise(0.0),
@@ -71,4 +72,4 @@ def parse_reply(df: DataFrame, reply: str = "reply") -> DataFrame:
         "extraction_warnings": F.when(~ok, F.array(F.concat(
             F.lit("extraction_error: "), "extraction_error")))
         .when(~F.col("_valid"), F.array(F.lit(UNPARSED))).otherwise(none),
-    }).drop("_clean", "_valid", "_object", "_members", "_parsed")
+    }).drop("_clean", "_valid", "_object", "_members", "_parsed"))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..fixed import RULES
+from ..functions.fence import settle
 from ..functions.text import as_literal
 
 Catalogue = list[tuple[str, list[str], float]]
@@ -71,7 +72,7 @@ def apply_rules(df: DataFrame, text: str = "full_text", catalogue: Catalogue = R
     lowered = F.lower(F.coalesce(F.col(text), F.lit("")))
     if only is not None:
         lowered = F.when(only, lowered).otherwise(F.lit(""))
-    return (
+    return settle(
         df.withColumn("_lowered", lowered)
         .withColumn("_matched", matched_patterns(F.col("_lowered"), catalogue))
         .withColumn("signals", rank_signals(F.col("_matched"), catalogue))

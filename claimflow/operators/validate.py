@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..fixed import CPT_FORMAT, ICD10_FORMAT, MIN_OCR_CONFIDENCE, MIN_TEXT_LENGTH
+from ..functions.fence import settle
 from ..functions.text import fixed_point, quoted, strip
 
 
@@ -16,7 +17,7 @@ def validation_errors() -> Column:
     ]
     ocr = F.col("ocr_mean_confidence")
     weak = F.when(ocr < MIN_OCR_CONFIDENCE, F.concat(
-        F.lit("OCR confidence "), fixed_point(ocr, 1, bits=55),
+        F.lit("OCR confidence "), fixed_point(ocr, 1),
         F.lit(f" below threshold ({MIN_OCR_CONFIDENCE})")))
     short = F.when(
         F.length(strip(F.coalesce(F.col("full_text"), F.lit("")))) < MIN_TEXT_LENGTH,
@@ -43,7 +44,7 @@ def validate(docs: DataFrame) -> DataFrame:
     """
     none = F.array().cast("array<string>")
     closed = F.col("disposition").isNotNull()
-    return (
+    return settle(
         docs.withColumns({
             "validation_errors": F.when(closed, none).otherwise(validation_errors()),
             "validation_warnings": F.when(closed, none).otherwise(code_format_warnings()),

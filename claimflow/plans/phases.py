@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import sinks
+from ..functions.fence import settle
 from ..operators.classify import cascade, close_out
 from ..operators.decide import dispatch
 from ..operators.evaluate import run_eval
@@ -59,7 +60,7 @@ def only_open(df: DataFrame, phase: Callable[[DataFrame], DataFrame], name: str,
                          **{f"_old_{c}": F.col(c) for c in kept}})
     out = phase(df.withColumn("full_text", F.when(flight, F.col("full_text"))))
 
-    def settle(c: str) -> Column:
+    def restored(c: str) -> Column:
         if c == "full_text":
             return F.col("_old_full_text")
         if c == "stages_completed":
@@ -69,7 +70,7 @@ def only_open(df: DataFrame, phase: Callable[[DataFrame], DataFrame], name: str,
         return F.col(c) if c in before else F.when(flight, F.col(c))
 
     hidden = {"_open", *(f"_old_{c}" for c in kept)}
-    return out.select(*[settle(c).alias(c) for c in out.columns if c not in hidden])
+    return settle(out.select(*[restored(c).alias(c) for c in out.columns if c not in hidden]))
 
 
 def classification(df: DataFrame, s: Services) -> DataFrame:

@@ -147,3 +147,13 @@ def prompt_scan(spark: SparkSession, folder: str) -> DataFrame:
     files = spark.read.option("pathGlobFilter", "*.json").text(folder, wholetext=True)
     named = files.select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("raw"))
     return prompts_from_text(named)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a scan with fewer splits than cores one partition per core.
+
+    The phases are heavy per row and never shuffle, so a table in a few small files would leave
+    most cores idle. A scan that already has enough splits is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
