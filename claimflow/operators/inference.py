@@ -7,7 +7,6 @@ then neither duplicates nor reorders it, and each row is called once per task at
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -22,28 +21,27 @@ def call_model(call: Callable[[str, str], str]):
     A NULL ``user`` is not sent and gives NULLs: that is how callers skip rows.
     """
 
-    @F.pandas_udf(REPLY)
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for systems, users in batches:
-            rows = [_one(call, s, u) for s, u in zip(systems, users)]
-            out = pd.DataFrame(rows, columns=["reply", "error", "latency_ms", "success"])
-            out["success"] = out["success"].astype("boolean")
-            out["latency_ms"] = out["latency_ms"].astype("float64")
-            yield out.astype({"reply": "object", "error": "object"})
-
-    return run.asNondeterministic()
+    # Everything the task needs is a local name, so workers need not have this package.
+    def one(system: str, user: str | None) -> tuple:
+        import time
 
+        if user is None:
+            return None, None, None, None
+        started = time.perf_counter()
+        reply = error = None
+        try:
+            reply = str(call(system, user))
+        except Exception as exc:
+            error = str(exc)
+        return reply, error, round((time.perf_counter() - started) * 1000, 2), error is None
 
-def _one(call: Callable[[str, str], str], system: str, user: str | None) -> tuple:
-    if user is None:
-        return None, None, None, None
-    started = time.perf_counter()
-    try:
-        reply = call(system, user)
-    except Exception as exc:
-        return None, str(exc), _ms(started), False
-    return str(reply), None, _ms(started), True
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        import pandas
 
+        for systems, users in batches:
+            rows = [one(s, u) for s, u in zip(systems, users)]
+            out = pandas.DataFrame(rows, columns=["reply", "error", "latency_ms", "success"])
+            yield out.astype({"reply": "object", "error": "object", "latency_ms": "float64",
+                              "success": "boolean"})
 
-def _ms(started: float) -> float:
-    return round((time.perf_counter() - started) * 1000, 2)
+    return F.pandas_udf(run, REPLY).asNondeterministic()

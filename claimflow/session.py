@@ -15,6 +15,9 @@ SETTINGS = {
     "spark.sql.parquet.filterPushdown": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    # Call-site capture costs several driver round trips per column expression; the phases build
+    # thousands of them.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

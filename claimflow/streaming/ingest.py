@@ -78,6 +78,14 @@ def write_append(df: DataFrame, out: str, checkpoint: str, once: bool = True) ->
     return _start(writer, checkpoint, once)
 
 
+def write_updates(counts: DataFrame, out: str, checkpoint: str, once: bool = True) -> StreamingQuery:
+    """Changed groups per micro-batch; the largest ``n`` per group is the current count."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+
+    return _start(counts.writeStream.outputMode("update").foreachBatch(write), checkpoint, once)
+
+
 def _start(writer, checkpoint: str, once: bool) -> StreamingQuery:
     writer = writer.option("checkpointLocation", checkpoint)
     if once:

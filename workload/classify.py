@@ -7,32 +7,21 @@ from pyspark.sql import functions as F
 from claimflow.operators import classify as cl
 from claimflow.operators.rules import apply_rules, top_two
 from claimflow.operators.textmodel import TextModel
-from claimflow.plans.phases import Services, classification, ingest
 from claimflow.session import scratch
 from claimflow.sources.landing import spread
 
 from . import sql as S
-from .corpus import raw_files, table
-from .ingest import valid
-
-RUN_TS = "2024-01-01 00:00:00"
-
-
-def ingested(spark, sf):
-    return ingest(raw_files(spark, sf), F.lit(RUN_TS).cast("timestamp"))
-
-
-def classified(spark, sf):
-    return classification(ingested(spark, sf), Services())
+from .corpus import table
+from .stages import classified, ingested, live_classified
 
 
 def source_hint(spark, sf):
-    df = valid(spark, sf).where(F.col("disposition").isNull())
+    df = ingested(spark, sf).where(F.col("disposition").isNull())
     return df.select("file", cl.source_hint().alias("declared_type"))
 
 
 def scored(spark, sf):
-    docs = valid(spark, sf).where(F.col("disposition").isNull()).select("file", "full_text")
+    docs = ingested(spark, sf).where(F.col("disposition").isNull()).select("file", "full_text")
     return apply_rules(docs)
 
 
@@ -62,7 +51,7 @@ def top2(spark, sf):
 
 def cascade(spark, sf):
     c = F.col("classification")
-    return classified(spark, sf).where(c.isNotNull()).select(
+    return live_classified(spark, sf).where(c.isNotNull()).select(
         "file", c["document_type"].alias("document_type"), c["confidence"].alias("confidence"),
         c["method"].alias("method"), c["runner_up_type"].alias("runner_up_type"),
         c["runner_up_conf"].alias("runner_up_conf"))
@@ -82,7 +71,7 @@ def classification_close_out(spark, sf):
 def documents_by_type(spark, sf):
     """Documents by type, method and queue, and how many reach a person."""
     c = F.col("classification")
-    return classified(spark, sf).where(c.isNotNull()).groupBy(
+    return live_classified(spark, sf).where(c.isNotNull()).groupBy(
         "document_type", c["method"].alias("method"), c["routing_queue"].alias("routing_queue")).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("disposition") == "human_review").alias("n_review"),
         F.round(F.avg(c["confidence"]), 4).alias("mean_confidence"))

@@ -8,21 +8,12 @@ from claimflow.operators import decide as dc
 from claimflow.operators import evaluate as ev
 from claimflow.operators import govern as gv
 from claimflow.operators import report as rp
-from claimflow.plans.phases import Services, agents, orchestration
 from claimflow.sinks import queue_messages
 
 from . import sql as S
 from .corpus import table
-from .extract import extracted, prose
-from .ingest import docs
-
-
-def governed(spark, sf):
-    return orchestration(extracted(spark, sf), Services())
-
-
-def decided(spark, sf):
-    return agents(governed(spark, sf), Services())
+from .extract import prose
+from .stages import decided, governed, ingested, live_decided, live_governed
 
 
 def check_schema(spark, sf):
@@ -53,7 +44,7 @@ def rules_fallback(spark, sf):
 
 
 def fallback_chain(spark, sf):
-    return governed(spark, sf).where(F.col("fallback_source").isNotNull()).select(
+    return live_governed(spark, sf).where(F.col("fallback_source").isNotNull()).select(
         "file", "fallback_source", "used_fallback", "mean_confidence", F.coalesce("disposition", F.lit("")).alias("disposition"))
 
 
@@ -102,7 +93,7 @@ def provider_match(spark, sf):
 
 
 def dispatch(spark, sf):
-    return decided(spark, sf).select("file", "disposition", F.col("agent.agent").alias("agent"),
+    return live_decided(spark, sf).select("file", "disposition", F.col("agent.agent").alias("agent"),
                                      F.coalesce("queue", F.lit("")).alias("queue"))
 
 
@@ -124,7 +115,7 @@ def stage_latency(spark, sf):
 
 def gold(spark, sf):
     """Gold records from the corpus: each valid document with the codes ingestion parsed as the truth."""
-    d = docs(spark, sf).where(F.col("disposition").isNull() & F.col("source").isin("hl7v2", "edi837", "fhir_r4"))
+    d = ingested(spark, sf).where((F.col("disposition").isNull() | (F.col("disposition") == "dlq")) & F.col("source").isin("hl7v2", "edi837", "fhir_r4"))
 
     def codes(c):
         return F.to_json(c)
@@ -149,7 +140,7 @@ def field_precision_recall(spark, sf):
 
 def exact_gold(spark, sf):
     """Labelled bundles: the truth is what the order says, which some bundles leave out."""
-    d = docs(spark, sf).where(F.col("disposition").isNull() & (F.col("source") == "fhir_r4"))
+    d = ingested(spark, sf).where((F.col("disposition").isNull() | (F.col("disposition") == "dlq")) & (F.col("source") == "fhir_r4"))
     return d.select("file", F.lit("fhir_r4").alias("source_type"), F.col("full_text").alias("input"),
                     F.create_map(F.lit("patient_dob"), F.lit("1950-03-08"), F.lit("payer_id"), F.col("payer_id"),
                                  F.lit("procedure_codes"), F.lit('["93000", "99213"]')).alias("expected"))
@@ -160,9 +151,7 @@ def eval_exact(spark, sf):
 
 
 def queue_outputs(spark, sf):
-    from .ingest import valid
-
-    return queue_messages(valid(spark, sf)).groupBy("queue", "group_id").agg(
+    return queue_messages(ingested(spark, sf)).groupBy("queue", "group_id").agg(
         F.count(F.lit(1)).alias("n"), F.countDistinct("dedup_id").alias("n_ids"))
 
 
@@ -183,8 +172,8 @@ acts AS (SELECT *, {F_ACT} AS act, list_distinct(list_transform(e, lambda v: upp
   list_filter(f0, lambda q: q.n = name)[1].v AS sv FROM named),
 pr AS (SELECT *, len(list_intersect(act, ex)) AS hit FROM acts),
 ratios AS (SELECT *, name LIKE '%codes' AS many,
-  CASE WHEN name LIKE '%codes' THEN CASE WHEN len(act) = 0 AND len(ex) = 0 THEN 1.0 WHEN len(act) = 0 OR len(ex) = 0 THEN 0.0 ELSE hit / len(act) END ELSE CASE WHEN coalesce(sv, 'None') = e[1] THEN 1.0 ELSE 0.0 END END::DOUBLE AS p,
-  CASE WHEN name LIKE '%codes' THEN CASE WHEN len(act) = 0 AND len(ex) = 0 THEN 1.0 WHEN len(act) = 0 OR len(ex) = 0 THEN 0.0 ELSE hit / len(ex) END ELSE CASE WHEN coalesce(sv, 'None') = e[1] THEN 1.0 ELSE 0.0 END END::DOUBLE AS r FROM pr),
+  CASE WHEN name LIKE '%codes' THEN CASE WHEN len(act) = 0 AND len(ex) = 0 THEN 1.0 WHEN len(act) = 0 OR len(ex) = 0 THEN 0.0 ELSE hit / len(act) END ELSE CASE WHEN trim(coalesce(sv, 'None')) = trim(e[1]) THEN 1.0 ELSE 0.0 END END::DOUBLE AS p,
+  CASE WHEN name LIKE '%codes' THEN CASE WHEN len(act) = 0 AND len(ex) = 0 THEN 1.0 WHEN len(act) = 0 OR len(ex) = 0 THEN 0.0 ELSE hit / len(ex) END ELSE CASE WHEN trim(coalesce(sv, 'None')) = trim(e[1]) THEN 1.0 ELSE 0.0 END END::DOUBLE AS r FROM pr),
 scores AS (SELECT *, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END AS f1 FROM ratios)"""
 
 REPORT = """SELECT 'source' AS dimension, source AS value, count(*) AS n FROM final GROUP BY source

@@ -13,25 +13,27 @@ from claimflow.operators.extract import extract_builtin
 from claimflow.operators.infer import batch_inference
 from claimflow.operators.meter import call_records, call_summary, token_cost
 from claimflow.operators.reply import parse_reply
-from claimflow.plans.phases import Services, extraction
-from claimflow.schemas import LIST_FIELDS
 from claimflow.sources.landing import spread
 
 from . import sql as S
-from .classify import classified
 from .corpus import table
+from .stages import classified, extracted, live_extracted
 
 
 def prose(spark, sf):
     return spread(table(spark, sf, "documents").select("doc_id", "text"))
 
 
-def extracted(spark, sf, **services):
-    return extraction(classified(spark, sf), Services(**services))
+def done(spark, sf):
+    return extracted(spark, sf).where(F.col("fields").isNotNull())
 
 
-def done(spark, sf, **services):
-    return extracted(spark, sf, **services).where(F.col("fields").isNotNull())
+def live(spark, sf, *sources, **services):
+    """The extraction phase itself, over the documents of the named sources."""
+    df = live_extracted(spark, sf, **services)
+    if sources:
+        df = df.where(F.col("source").isin(list(sources)))
+    return df.where(F.col("fields").isNotNull())
 
 
 def redact_pii(spark, sf):
@@ -72,11 +74,11 @@ def _fields(df):
 
 
 def _source(spark, sf, source):
-    return _fields(done(spark, sf).where(F.col("source") == source))
+    return _fields(live(spark, sf, source))
 
 
 def extract_json(spark, sf):
-    return _fields(done(spark, sf).where(F.col("source").isin("fhir_r4", "webhook")))
+    return _fields(live(spark, sf, "fhir_r4", "webhook"))
 
 
 def extract_hl7(spark, sf):
@@ -93,7 +95,7 @@ def extract_text(spark, sf):
 
 def extract_dispatch(spark, sf):
     """Fields per document of all kinds, before enrichment."""
-    return done(spark, sf).select(
+    return live(spark, sf).select(
         "file", F.size("fields").cast("bigint").alias("n_fields"), "mean_confidence",
         F.array_join("low_conf_fields", "|").alias("low_conf_fields"))
 
@@ -132,7 +134,7 @@ def enrich_npi(spark, sf):
     """Customers are the registry: it grows with the data, so its size decides the join."""
     customers = table(spark, sf, "customer").where(F.col("c_custkey") % 3 != 0)
     registry = customers.select(F.concat(F.lit("1"), F.lpad(F.col("c_custkey").cast("string"), 9, "0")).alias("npi"))
-    return done(spark, sf, registry=registry).select("file", "npi_validated")
+    return live(spark, sf, registry=registry).select("file", "npi_validated")
 
 
 def enrich_codes(spark, sf):

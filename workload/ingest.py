@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from claimflow.functions.segments import clean_codes
 from claimflow.operators import normalize as nm
 from claimflow.operators import validate as vl
-from claimflow.sources.landing import prompts_from_text, spread
+from claimflow.sources.landing import spread
 
 from . import sql as S
 from .corpus import raw_files, table
+from .stages import ingested
 
 
 def flat(c: str):
@@ -167,12 +168,12 @@ def validate(spark, sf):
 
 
 def code_format_warnings(spark, sf):
-    return valid(spark, sf).select(F.explode("validation_warnings").alias("warning")).groupBy("warning").agg(
+    return ingested(spark, sf).select(F.explode("validation_warnings").alias("warning")).groupBy("warning").agg(
         F.count(F.lit(1)).alias("n"))
 
 
 def dlq_split(spark, sf):
-    _, dead = vl.dlq_split(valid(spark, sf))
+    _, dead = vl.dlq_split(ingested(spark, sf))
     s = F.col("raw_snapshot")
     return dead.select(
         "source_id", "source_type", flat("errors"), flat("warnings"), s["ocr_confidence"].alias("ocr_confidence"),
@@ -181,7 +182,7 @@ def dlq_split(spark, sf):
 
 
 def in_flight(spark, sf):
-    return vl.in_flight(valid(spark, sf)).select("file", "document_id", F.length("full_text").cast("bigint").alias("text_length"))
+    return vl.in_flight(ingested(spark, sf)).select("file", "document_id", F.length("full_text").cast("bigint").alias("text_length"))
 
 
 def data_quality_rollup(spark, sf):
