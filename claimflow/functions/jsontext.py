@@ -29,8 +29,11 @@ def is_object(c: Column) -> Column:
     return object_map(c).isNotNull()
 
 
-def is_json(c: Column) -> Column:
-    """True for any JSON value. ``c`` must be stripped. Plain prose fails on its first character."""
+def is_json(c: Column, members: Column | None = None) -> Column:
+    """True for any JSON value. ``c`` must be stripped. Plain prose fails on its first character.
+
+    ``members`` is ``object_map(c)`` where the caller has it already.
+    """
     as_array = (
         F.startswith(c, F.lit("[")) & F.endswith(c, F.lit("]"))
         & F.from_json(c, "array<string>", STRICT).isNotNull()
@@ -40,4 +43,5 @@ def is_json(c: Column) -> Column:
         F.lit(r'^(-?(0|[1-9]\d*)(\.\d+)?([eE][+-]?\d+)?|true|false|null|NaN|-?Infinity'
               r'|"([^"\\\x00-\x1f]|\\(["\\/bfnrt]|u[0-9a-fA-F]{4}))*+")$'),
     )
-    return F.when(F.startswith(c, F.lit("{")), is_object(c)).otherwise(as_array | scalar)
+    return F.when(F.startswith(c, F.lit("{")),
+                  (members if members is not None else object_map(c)).isNotNull()).otherwise(as_array | scalar)

@@ -11,7 +11,7 @@ from ..fixed import (
 )
 from ..functions import fields as fl
 from ..functions.jsontext import is_json, object_map, without_fences
-from ..functions.text import strip, text_or_empty
+from ..functions.text import let, strip, text_or_empty
 from .classify import choose
 
 FALLBACK_ERROR = "orchestration: extraction unusable after fallback — sent to human review"
@@ -64,14 +64,15 @@ def route_model(df: DataFrame, task: str = "extraction", text: str = "safe_text"
 
 def schema_failures(text: Column, required: list[str]) -> Column:
     """Invalid JSON, or one message per missing key."""
-    clean = without_fences(text)
-    members = object_map(clean)
-    missing = F.array_compact(F.array(*[
-        F.when(~F.coalesce(F.map_contains_key(members, F.lit(k)), F.lit(False)),
-               F.lit(f"Missing required key: {k}"))
-        for k in required
-    ]))
-    return F.when(is_json(clean), missing).otherwise(F.array(F.lit("Invalid JSON")))
+    def failures(clean: Column, members: Column) -> Column:
+        missing = F.array_compact(F.array(*[
+            F.when(~F.coalesce(F.map_contains_key(members, F.lit(k)), F.lit(False)),
+                   F.lit(f"Missing required key: {k}"))
+            for k in required
+        ]))
+        return F.when(is_json(clean, members), missing).otherwise(F.array(F.lit("Invalid JSON")))
+
+    return let(without_fences(text), lambda c: let(object_map(c), lambda m: failures(c, m)))
 
 
 def check_schema(df: DataFrame, text: str, required: list[str] | None = None) -> DataFrame:

@@ -119,7 +119,7 @@ def replies(spark, sf):
              .when(k % 8 == 2, F.lit("not json")).when(k % 8 == 3, F.lit(""))
              .when(k % 8 == 4, F.lit('["a"]')).when(k % 8 == 5, F.lit('{"patient_name": {"value": "X", "confidence": "high"}}'))
              .otherwise(one))
-    return table(spark, sf, "orders").select("o_orderkey", reply.alias("reply"))
+    return spread(table(spark, sf, "orders").select("o_orderkey")).select("o_orderkey", reply.alias("reply"))
 
 
 def parse_reply_(spark, sf):
