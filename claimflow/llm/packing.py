@@ -15,9 +15,11 @@ own. An empty table gives an empty result. Other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,45 +30,66 @@ from claimflow.llm.common import small_batches, stored
 
 SEQUENCE = 1024
 END_ID = 2
-#: Words whose ids a task remembers; beyond it the memory starts anew.
-CACHE_WORDS = 300_000
 #: Pieces of one length are ranked in this many parts.
 RANK_PARTS = 4096
-#: A space that white space surrounds: there a cut before the space could change the ids.
-_AMBIGUOUS = re.compile(r"\s (?:\s|$)")
+#: Letters, signs or spaces in a row from which the rank-based encoder is slow.
+_LONG_RUN = re.compile(r"\S{500}|\s{500}")
 
 
-class WordCache:
-    """Token ids as little-endian bytes, word by word.
+class Encoder:
+    """Token ids as little-endian bytes, read from the tokenizer's own file.
 
-    The byte-level pattern never joins a space to what stands before it unless white space stands on
-    both sides, so a text can be cut before its spaces and each distinct piece encoded once. Texts
-    with ambiguous white space are encoded whole.
+    Byte-pair merges in rank order give the same ids in any library. Where the file is a plain
+    byte-level vocabulary whose ids follow its merges, the ranks go to the faster one; texts with a
+    very long unbroken run, which it takes square time for, and any other file go to ``tokenizers``.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        done = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in done]
+        self.slow = Tokenizer.from_file(path)
+        self.slow.encode_special_tokens = True
+        with open(path, encoding="utf-8") as f:
+            self.fast = _ranked(json.load(f))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        cut = [None if t and _AMBIGUOUS.search(t) else (t or "").replace(" ", "\0 ").split("\0") for t in texts]
-        cut = [None if t and "\0" in t else c for t, c in zip(texts, cut, strict=True)]
-        if len(self.known) > CACHE_WORDS:
-            self.known = {}
-        missing = list({w for c in cut if c for w in c}.difference(self.known))
-        for i in range(0, len(missing), 5000):
-            part = missing[i : i + 5000]
-            self.known.update(zip(part, self._ids(part), strict=True))
-        whole = iter(self._ids([t for t, c in zip(texts, cut, strict=True) if c is None]))
-        get = self.known.__getitem__
-        return [b"".join(map(get, c)) if c is not None else next(whole) for c in cut]
+        out = [b""] * len(texts)
+        rest = [i for i, t in enumerate(texts) if t and (self.fast is None or _LONG_RUN.search(t))]
+        for i, e in zip(rest, self.slow.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False),
+                        strict=True):
+            out[i] = np.array(e.ids, "<u4").tobytes()
+        done = set(rest)
+        for i, t in enumerate(texts):
+            if t and i not in done:
+                out[i] = np.array(self.fast.encode_ordinary(t), "<u4").tobytes()
+        return out
+
+
+def _ranked(spec: dict):
+    """A rank-based encoding of the file's vocabulary, or None where ranks do not describe it."""
+    import tiktoken
+    from public_tokenizers import PATTERN
+
+    pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    plain = (pre.get("type"), pre.get("add_prefix_space"), pre.get("use_regex", True)) == ("ByteLevel", False, True)
+    if not plain or spec.get("normalizer") or model.get("type") != "BPE":
+        return None
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
+    letters = {chr(b): b for b in shown}
+    letters |= {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(shown))}
+    added = {x["content"] for x in spec.get("added_tokens") or ()}
+    vocab = {bytes(letters[c] for c in word): i for word, i in model["vocab"].items() if word not in added}
+    joined = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+    ids = [model["vocab"][word] for word in joined]
+    if ids != sorted(set(ids)) or len(vocab) != 256 + len(ids):
+        return None
+    return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=vocab, special_tokens={})
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """One encoder a process, kept for later tasks."""
+    return Encoder(path)
 
 
 def token_pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text",
@@ -79,12 +102,12 @@ def token_pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        cache = WordCache(tokenizer)
+        ids_of = encoder(tokenizer).encode
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for at in range(0, len(ids), 100):
-                for doc, data in zip(ids[at : at + 100], cache.encode(texts[at : at + 100]), strict=True):
+                for doc, data in zip(ids[at : at + 100], ids_of(texts[at : at + 100]), strict=True):
                     data += end
                     n = len(data) // 4
                     start, size, piece = 0, n % length or length, 0
