@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimflow.llm import exact_dedup, quality
+from claimflow.llm import exact_dedup, jaccard, mixing, packing, quality
 from claimflow.llm.common import stored
+from claimflow.llm.queries import tokenizer_path
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,7 +23,23 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.keep_one(docs)
 
 
-STAGES = [("quality", keep_good), ("exact_dedup", drop_copies)]
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near copies, the row with the smallest id."""
+    return jaccard.keep_one(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents as the mix takes them: a row for each unbroken run of blocks."""
+    return mixing.mixed_documents(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the mix in sequences of 1024 tokens."""
+    return packing.pack_documents(docs, tokenizer_path())
+
+
+STAGES = [("quality", keep_good), ("exact_dedup", drop_copies), ("near_dedup", drop_near_copies),
+          ("mix", mix_sources), ("pack", pack_sequences)]
 
 #: Training, hashing into sets and pseudorandom permutations are beyond SQL.
 ORACLE_SQL = None
