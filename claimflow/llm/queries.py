@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimflow.llm import exact_dedup, html, jaccard, language, mixing, packing, quality, topk, warc
+from claimflow.llm import exact_dedup, html, jaccard, language, mixing, packing, quality, suffix_dedup, topk, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -32,6 +32,10 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(table(spark, sf_dir, "documents"))
 
@@ -58,7 +62,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_html_extraction, op2_exact_dedup, op3_quality_classifier, op5_ngram_jaccard, op6_top_k, op7_language_id, op8_mixing, op9_warc,
+    op1_html_extraction, op2_exact_dedup, op3_quality_classifier, op4_suffix_dedup, op5_ngram_jaccard, op6_top_k, op7_language_id, op8_mixing, op9_warc,
     op10_best_fit_packing)}
 
 ORACLES = {
