@@ -47,7 +47,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     out = near.where("v > u" if large else "v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     if not large:
         out = out.unionByName(least.where("w <> m").select(F.col("w").alias("u"), F.col("m").alias("v")))
-    return out.where("u <> v").distinct()
+    return out if large else out.distinct()
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -9,10 +9,12 @@ A-Z). Two documents link when their sets overlap in at least 80 % of their union
 3. Sets of equal size and prefix are one group. Groups meet at the shingles of their prefixes, and a
    pair of groups must pass the size and the position filter.
 4. Pairs of groups are expanded to members and verified on the whole sets, taken from the text again.
-5. That happens twice. First each group meets only the first group and its neighbour at each
-   shingle, which is linear in the number of prefix shingles and joins nearly all of a large group of
-   near copies. Then every pair that passes the filters and lies in different components meets. A
-   pair that was not compared lies in one component already, so no link between components is lost.
+5. That happens in three rounds. First each group meets only the first group and two neighbours at each of its
+   ``NEAR`` rarest shared shingles, at most ``3 * NEAR`` partners, which joins most of a large
+   group of near copies. Then a group outside the largest component at a shingle meets ``BRIDGES`` of
+   that component's. Both rounds are linear in the number of prefix shingles. Last, every pair that
+   passes the filters and lies in different components meets. A pair that was not compared lies in
+   one component already, so no link between components is lost.
 
 Defined results: a text of fewer than five words has its whole sequence as its one shingle; without
 words, and for null, the set is empty and links with nothing. Rows that share an id are one document
@@ -27,7 +29,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimflow.llm.common import blocks, mix, parallel, small_batches, stored, text_buffers, word_hashes
@@ -39,6 +41,12 @@ COUNT_BITS = 18
 SLICES = 64
 #: Partners of one document that a task verifies; more are dealt to several.
 PARTNERS = 500
+#: Rarest shared shingles of a group at which it looks for its first partners.
+NEAR = 6
+#: Members of a shingle's largest component that a group outside it meets there.
+BRIDGES = 32
+#: Bits of the filter that keeps texts no pair needs out of a shuffle, a table of fixed size.
+SIEVE_BITS = 26
 _STEP = [pow(0x9E3779B97F4A7C15 | 1, k + 1, 1 << 64) for k in range(WORDS)]
 
 
@@ -174,31 +182,59 @@ def _pair_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
 
 
 def _near_pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each group with the first of its shingle and with the one before it."""
-    token = group = n = at = None  # the last posting, and the first of its token
-    head: tuple = ()
+    """Each group with the first of its shingle and with the two before it, as the input is ordered."""
+    held = None  # the last two postings and the first of the last one's token
     for batch in batches:
         cols = [batch.column(i).to_numpy() for i in range(4)]
         if not len(cols[0]):
             continue
-        if token is not None:
-            cols = [np.concatenate([[x], c]) for x, c in zip((token, group, n, at), cols, strict=True)]
-        t, g, size, place = cols
+        head = None
+        if held is not None:
+            cols, head = [np.concatenate([x, c]) for x, c in zip(held[0], cols, strict=True)], held[1]
+        t, g, n, at = cols
         new = np.concatenate([[True], t[1:] != t[:-1]])
         first = np.maximum.accumulate(np.where(new, np.arange(len(t)), 0))
-        hg, hn, ha = g[first], size[first], place[first]
-        if head and head[0] == t[0]:
-            own = first == 0
+        hg, hn, ha = g[first], n[first], at[first]
+        if head is not None:
+            own = t == head[0]
             hg, hn, ha = (np.where(own, h, x) for h, x in zip(head[1:], (hg, hn, ha), strict=True))
-        last = (~new[1:]).nonzero()[0] + 1
+        start = len(held[0][0]) if held is not None else 0
+        a, b = [], []
+        for back in (1, 2):
+            i = np.arange(max(start, back), len(t))
+            i = i[t[i] == t[i - back]]
+            i = i[passes(n[i], at[i], n[i - back], at[i - back])]
+            a.append(g[i])
+            b.append(g[i - back])
+        i = np.arange(start, len(t))
+        i = i[passes(n[i], at[i], hn[i], ha[i])]
+        a.append(g[i])
+        b.append(hg[i])
+        a, b = np.concatenate(a), np.concatenate(b)
+        held = [c[-2:] for c in cols], (t[-1], hg[-1], hn[-1], ha[-1])
+        yield _pair_batch(a[a != b], b[a != b])
+
+
+def _bridge_pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Groups outside their shingle's largest component with a few inside it; columns as for the cross pairs."""
+    for t, g, size, place, comp, mixed in _runs(batches):
+        edges = np.concatenate([np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]])), [len(t)]])
         a, b = [], []
-        for og, on, oa in ((g[last - 1], size[last - 1], place[last - 1]), (hg[last], hn[last], ha[last])):
-            ok = passes(size[last], place[last], on, oa) & (og != g[last])
-            a.append(g[last][ok])
-            b.append(og[ok])
-        head = (t[-1], hg[-1], hn[-1], ha[-1])
-        token, group, n, at = t[-1], g[-1], size[-1], place[-1]
-        yield _pair_batch(np.concatenate(a), np.concatenate(b))
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            if hi - lo < 2 or (comp[lo:hi] == comp[lo]).all():
+                continue
+            labels, n = np.unique(comp[lo:hi], return_counts=True)
+            inside = comp[lo:hi] == labels[n.argmax()]
+            major = lo + np.flatnonzero(inside)
+            for x in lo + np.flatnonzero(~inside):
+                y = major[passes(size[major], place[major], size[x], place[x])]
+                if len(y) > BRIDGES:  # others at each shingle
+                    at = int(mix(np.array([g[x]]).view(np.uint64) + t[x : x + 1].view(np.uint64))[0] % np.uint64(len(y)))
+                    y = y[(at + np.arange(BRIDGES) * (len(y) // BRIDGES)) % len(y)]
+                a.append(g[y])
+                b.append(np.full(len(y), g[x]))
+        if a:
+            yield _pair_batch(np.concatenate(a), np.concatenate(b))
 
 
 def _cross_pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,6 +263,57 @@ def _cross_pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _pair_batch(np.concatenate(a), np.concatenate(b))
 
 
+def _sieve_places(ids: np.ndarray) -> list[np.ndarray]:
+    h = mix(ids.astype(np.int64).view(np.uint64))
+    return [(h >> np.uint64(64 - SIEVE_BITS)).astype(np.int64),
+            (h & np.uint64((1 << SIEVE_BITS) - 1)).astype(np.int64)]
+
+
+def sieve(ids: DataFrame) -> np.ndarray:
+    """Bloom filter of the ids in the first column, packed: ``2^SIEVE_BITS`` bits, always."""
+    kind = "slice int, bits binary"
+
+    def mark(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << SIEVE_BITS, bool)
+        for batch in batches:
+            for place in _sieve_places(batch.column(0).to_numpy()):
+                bits[place] = True
+        for k, part in enumerate(np.split(np.packbits(bits), SLICES)):
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())],
+                                                 names=["slice", "bits"])
+
+    def unite(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                total[k] = total.get(k, 0) | np.frombuffer(b, np.uint8)
+        for k, b in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([b.tobytes()], pa.binary())],
+                                             names=["slice", "bits"])
+
+    parts = ids.mapInArrow(mark, kind).repartition(SLICES, "slice").mapInArrow(unite, kind).collect()
+    out = np.zeros((SLICES, (1 << SIEVE_BITS) // 8 // SLICES), np.uint8)
+    for r in parts:
+        out[r["slice"]] = np.frombuffer(r["bits"], np.uint8)
+    return out.ravel()
+
+
+def sifted(rows: DataFrame, bits: np.ndarray) -> DataFrame:
+    """The rows whose id the filter may hold: a scan, no shuffle."""
+    shared = rows.sparkSession.sparkContext.broadcast(bits)
+
+    def held(ids: pa.Array) -> pa.Array:
+        known = ids.fill_null(0).to_numpy(zero_copy_only=False)
+        found = np.ones(len(known), bool)
+        for place in _sieve_places(known):
+            found &= (shared.value[place >> 3] >> (7 - (place & 7))) & 1 == 1
+        return pa.array(found, pa.bool_())
+
+    held.__annotations__ = {"ids": pa.Array, "return": pa.Array}
+    return rows.where(F.arrow_udf(held, "boolean")(F.col("_id")))
+
+
 def verified(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of ``pairs`` (a, b) whose whole sets link, as links ``u, v``.
 
@@ -238,11 +325,13 @@ def verified(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     many = pairs.groupBy(F.col("a").alias("_a")).agg(F.ceil(F.count("*") / PARTNERS).alias("_parts"))
     dealt = pairs.join(many, F.col("a") == F.col("_a")).select(
         "a", "b", F.pmod(F.xxhash64("b"), F.col("_parts")).cast("int").alias("part"))
+    dealt = stored(dealt, "dealt-pairs")
     to = dealt.select(F.col("b").alias("_to"), F.struct("a", "part", F.lit(True).alias("partner")).alias("_at"))
     own = dealt.select("a", "part").distinct().select(
         F.col("a").alias("_to"), F.struct("a", "part", F.lit(False).alias("partner")).alias("_at"))
     ways = to.unionByName(own).groupBy("_to").agg(F.collect_list("_at").alias("_ways"))
-    texts = rows.join(ways, F.col("_id") == F.col("_to")).select("_id", "_text", "_ways")
+    ways = stored(ways, "ways")
+    texts = sifted(rows, sieve(ways.select("_to").coalesce(8))).join(ways, F.col("_id") == F.col("_to")).select("_id", "_text", "_ways")
 
     def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["a", "part", "partner", "id", "shingles"]
@@ -307,26 +396,36 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     shared = stored(postings.repartition(parallel(df), "token").sortWithinPartitions("token").mapInArrow(
         _several, POSTING), "shared")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50000")
-    ordered = shared.repartition(parallel(df), "token").sortWithinPartitions("token", "n", "group")
+    rarest = Window.partitionBy("group").orderBy("at", "token")
+    few = shared.withColumn("_k", F.row_number().over(rarest)).where(F.col("_k") <= NEAR).select(*shared.columns)
+    # Of about equal sizes, another order at each shingle, so that neighbours differ.
+    band = F.floor(F.log(F.col("n").cast("double")) / np.log(1.1))
+    ordered = few.repartition(parallel(df), "token").sortWithinPartitions("token", band, F.xxhash64("group", "token"))
     near = ordered.mapInArrow(_near_pairs, "a long, b long")
     inside = members.where("members > 1 AND rep <> group").select(F.col("group").alias("a"), F.col("rep").alias("b"))
     first = verified(rows, near.unionByName(inside))
     # Copies of a set under ids of their own are found again through the set; only ids shared by sets link here.
     twice = full.groupBy("_id").agg(F.countDistinct("set_key").alias("k")).where("k > 1").select(F.col("_id").alias("_d"))
     shared_ids = same_id.join(twice, F.col("u") == F.col("_d"), "left_semi")
-    found = components(first.unionByName(shared_ids))
-
-    def component(frame: DataFrame, node: str) -> DataFrame:
-        return frame.join(found, F.col(node) == F.col("node"), "left").withColumn(
-            "component", F.coalesce("component", F.col(node))).drop("node")
-
-    placed = stored(component(members.select("rep", "group"), "rep"), "placed")
+    def placed_by(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Members with their component, and the shared postings with their group's."""
+        found = components(links)
+        at = members.select("rep", "group").join(found, F.col("rep") == F.col("node"), "left").select(
+            "rep", "group", F.coalesce("component", "rep").alias("component"))
+        at = stored(at, "placed")
+        state = at.groupBy(F.col("group").alias("_g")).agg(
+            F.min("component").alias("component"), (F.min("component") != F.max("component")).alias("mixed"))
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50000")
+        open_ = shared.join(state, F.col("group") == F.col("_g")).select(*shared.columns, "component", "mixed")
+        return at, open_.repartition(parallel(df), "token").sortWithinPartitions("token")
+
+    _, open_ = placed_by(first.unionByName(shared_ids))
+    bridges = verified(rows, open_.mapInArrow(_bridge_pairs, "a long, b long"))
+    first = first.unionByName(bridges)
+    placed, open_ = placed_by(first.unionByName(shared_ids))
     state = placed.groupBy(F.col("group").alias("_g")).agg(
-        F.min("component").alias("component"), (F.min("component") != F.max("component")).alias("mixed"))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50000")
-    open_ = shared.join(state, F.col("group") == F.col("_g")).select(*shared.columns, "component", "mixed")
-    crossed = open_.repartition(parallel(df), "token").sortWithinPartitions("token").mapInArrow(
-        _cross_pairs, "a long, b long").distinct()
+        (F.min("component") != F.max("component")).alias("mixed"))
+    crossed = open_.mapInArrow(_cross_pairs, "a long, b long").distinct()
     left = placed.select(F.col("group").alias("a"), F.col("rep").alias("ra"), F.col("component").alias("ca"))
     right = placed.select(F.col("group").alias("b"), F.col("rep").alias("rb"), F.col("component").alias("cb"))
     rest = crossed.join(left, "a").join(right, "b").where("ca <> cb").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
