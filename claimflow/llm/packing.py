@@ -166,39 +166,35 @@ def best_fit_runs(counts: dict[int, int], capacity: int) -> list[tuple[int, int,
     tree, room = CapacityTree(capacity), {}
     runs, bins = [], 0
 
-    def place(length: int, rank: int, pieces: int, first: int, left: int) -> None:
-        runs.append((length, rank, pieces, first, capacity - left))
-        if left - length:
-            room.setdefault(left - length, []).append((first, pieces))
-            tree.add(left - length, pieces)
+    def reopen(left: int, first: int, n: int) -> None:
+        if left and n:
+            room.setdefault(left, []).append((first, n))
+            tree.add(left, n)
 
     for length in sorted(counts, reverse=True):
         rank, total = 0, counts[length]
         while rank < total:
             left = tree.tightest(length)
-            if left is None:  # new bins; each is filled as far as this length goes before the next
-                fill = capacity // length
-                new = -(-(total - rank) // fill)
-                last = total - rank - (new - 1) * fill
-                for k in range(fill):
-                    here = new if k < last else new - 1
-                    if here:
-                        runs.append((length, rank, here, bins, k * length))
-                        rank += here
-                for first, n, used in ((bins, new - 1, fill), (bins + new - 1, 1, last)):
-                    rest = capacity - used * length
-                    if n and rest:
-                        room.setdefault(rest, []).append((first, n))
-                        tree.add(rest, n)
-                bins += new
-                continue
-            first, n = room[left].pop()
-            take = min(n, total - rank)
-            if take < n:
-                room[left].append((first + take, n - take))
-            tree.add(left, -take)
-            place(length, rank, take, first, left)
-            rank += take
+            if left is None:
+                left, first, n = capacity, bins, -(-(total - rank) // (capacity // length))
+                bins += n
+            else:
+                first, n = room[left].pop()
+                tree.add(left, -n)
+            # A bin that took a piece is the tightest while it fits another, so bins are filled in turn.
+            fill = left // length
+            full, rest = min(n, (total - rank) // fill), 0
+            if full < n:
+                rest = total - rank - full * fill
+            for k in range(fill):
+                here = full + (k < rest)
+                if here:
+                    runs.append((length, rank, here, first, capacity - left + k * length))
+                    rank += here
+            reopen(left - fill * length, first, full)
+            if full < n:
+                reopen(left - rest * length, first + full, 1)
+                reopen(left, first + full + 1, n - full - 1)
     return runs
 
 
