@@ -80,11 +80,14 @@ def read_type_reply(reply: Column) -> dict[str, Column]:
 
 
 def model_tier(df: DataFrame, call: Callable[[str, str], str], text: str = "full_text",
-               only: Column | None = None) -> DataFrame:
-    """Add ``reply_type``, ``reply_confidence`` and ``reply_reasoning`` from ``call(system, user)``."""
+               only: Column | None = None, excerpt_chars: int = MODEL_EXCERPT) -> DataFrame:
+    """Add ``reply_type``, ``reply_confidence`` and ``reply_reasoning`` from ``call(system, user)``.
+
+    The prompt carries the first ``excerpt_chars`` characters.
+    """
     from .inference import call_model
 
-    excerpt = strip(F.left(F.col(text), F.lit(MODEL_EXCERPT)))
+    excerpt = strip(F.left(F.col(text), F.lit(excerpt_chars)))
     user = F.concat(F.lit("DOCUMENT:\n"), excerpt)
     if only is not None:
         user = F.when(only, user)
@@ -100,7 +103,8 @@ def model_tier(df: DataFrame, call: Callable[[str, str], str], text: str = "full
 
 
 def cascade(df: DataFrame, model=None, call: Callable[[str, str], str] | None = None,
-            catalogue: Catalogue = RULES, use_hint: bool = True) -> DataFrame:
+            catalogue: Catalogue = RULES, use_hint: bool = True,
+            excerpt_chars: int = MODEL_EXCERPT) -> DataFrame:
     """Add ``classification`` (type, confidence, runner-up, method, queue).
 
     ``model`` is a fitted ``TextModel``; ``call`` a model function. Both are optional.
@@ -124,7 +128,7 @@ def cascade(df: DataFrame, model=None, call: Callable[[str, str], str] | None =
         by_model = (F.col("_tm_conf") >= TEXT_MODEL_THRESHOLD) & (F.col("_tm_type") != "unknown") & agrees
         by_model = undecided & F.coalesce(by_model, F.lit(False))
     if call is not None:
-        df = model_tier(df, call, only=undecided & ~by_model)
+        df = model_tier(df, call, only=undecided & ~by_model, excerpt_chars=excerpt_chars)
         extra += ["reply_type", "reply_confidence", "reply_reasoning"]
 
     def result(kind, conf, method, second_kind=None, second_conf=None) -> Column:

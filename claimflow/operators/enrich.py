@@ -58,6 +58,8 @@ def _lost_codes(df: DataFrame, name: str, spelled, fixed: list[str], reference:
     """The frame and an array column: codes of the field that are not in the reference."""
     codes = fl.values(F.col("fields"), name)
     if reference is not None:
+        # A NULL code would make every comparison with the set unknown.
+        reference = reference.where(F.col(reference.columns[0]).isNotNull())
         head = reference.select(reference.columns[0]).limit(literal_rows + 1).collect()
         if len(head) > literal_rows:
             pairs = df.select("document_id", F.explode(F.transform(codes, spelled)).alias("code"))

@@ -23,13 +23,6 @@ from .normalize import fhir_columns, fhir_resource
 INDEX_ERROR = "list index out of range"
 
 
-def prompt_excerpt(text: Column, max_chars: int | None = fx.MAX_PROMPT_CHARS) -> Column:
-    """The part of the text a prompt carries. ``None`` carries all of it."""
-    if max_chars is not None:
-        text = F.left(text, F.lit(max_chars))
-    return strip(F.substring_index(text, "\n\n[truncated", 1))
-
-
 def document_kind(text: Column, members: Column) -> Column:
     return (
         F.when(F.try_element_at(members, F.lit("resourceType")) == "Bundle", F.lit("bundle"))
@@ -147,11 +140,10 @@ CONFIDENCE = {
 }
 
 
-def parse_document(df: DataFrame, text: str = "safe_text",
-                   max_chars: int | None = fx.MAX_PROMPT_CHARS) -> DataFrame:
-    """Add ``kind``, ``base_confidence``, ``extraction_error`` and one ``v_<field>`` per field."""
+def parse_document(df: DataFrame, text: str = "safe_text") -> DataFrame:
+    """Reads the whole text. Add ``kind``, ``base_confidence``, ``extraction_error`` and one ``v_<field>`` per field."""
     x, kind = F.col("_x"), F.col("kind")
-    df = df.withColumn("_x", prompt_excerpt(F.col(text), max_chars))
+    df = df.withColumn("_x", strip(F.col(text)))
     df = df.withColumn("_members", object_map(x))
     df = df.withColumn("kind", document_kind(x, F.col("_members")))
 
@@ -234,9 +226,8 @@ def pack_fields(df: DataFrame) -> DataFrame:
     return df.withColumn("fields", F.concat(scalars, *lists))
 
 
-def extract_builtin(df: DataFrame, text: str = "safe_text",
-                    max_chars: int | None = fx.MAX_PROMPT_CHARS) -> DataFrame:
+def extract_builtin(df: DataFrame, text: str = "safe_text") -> DataFrame:
     """Add ``fields``, ``reply_words`` and ``extraction_error``."""
-    parsed = parse_document(df, text, max_chars)
+    parsed = parse_document(df, text)
     packed = pack_fields(parsed.withColumn("reply_words", reply_words()))
     return settle(packed.drop("kind", "base_confidence", *[f"v_{n}" for n in SCALAR_FIELDS + LIST_FIELDS]))

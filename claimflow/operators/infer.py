@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..fixed import LOW_FIELD, MAX_PROMPT_CHARS, PROMPT_BODIES, PROMPT_VERSION
 from ..functions import fields as fl
 from ..functions.text import round_half_even, tokens, word_count
+from ..session import written
 from .enrich import enrich, ocr_penalty, score_completeness
 from .extract import extract_builtin
 from .govern import redact_pii, route_model
@@ -20,14 +21,15 @@ from .reply import parse_reply
 
 
 def batch_inference(df: DataFrame, call: Callable[[str, str], str] | None = None,
-                    text: str = "safe_text") -> DataFrame:
+                    text: str = "safe_text", prompt_chars: int = MAX_PROMPT_CHARS) -> DataFrame:
     """Add the extraction columns and ``reply_call`` (tokens, latency, success, error).
 
-    Without ``call`` the built-in extractor answers.
+    A prompt carries the first ``prompt_chars`` characters. Without ``call`` the built-in extractor
+    answers, which reads the whole text; its token counts are those of the prompt a model would get.
     """
-    user = user_message(F.col(text))
+    user = user_message(F.col(text), prompt_chars)
     if call is None:
-        return _builtin(df, text)
+        return _builtin(df, text, user)
     system = system_prompt_for(F.col("document_type"))
     # The call runs once per row: its struct is a column of its own before anything reads it.
     df = df.withColumns({"_system": system, "_user": user})
@@ -56,9 +58,9 @@ def _system_words(document_type: Column) -> Column:
     return out
 
 
-def _builtin(df: DataFrame, text: str) -> DataFrame:
+def _builtin(df: DataFrame, text: str, user: Column) -> DataFrame:
     df = extract_builtin(df, text)
-    words = _system_words(F.col("document_type")) + word_count(user_message(F.col(text)))
+    words = _system_words(F.col("document_type")) + word_count(user)
     failed = F.col("extraction_error").isNotNull()
     zero = F.lit(0).cast("bigint")
     none = F.array().cast("array<string>")
@@ -79,14 +81,19 @@ def _builtin(df: DataFrame, text: str) -> DataFrame:
 
 def extract(df: DataFrame, call: Callable[[str, str], str] | None = None,
             registry: DataFrame | None = None, icd10: DataFrame | None = None,
-            cpt: DataFrame | None = None, prefer_local: bool = False) -> DataFrame:
+            cpt: DataFrame | None = None, prefer_local: bool = False,
+            prompt_chars: int = MAX_PROMPT_CHARS) -> DataFrame:
     """The whole phase on in-flight documents. Personal data is replaced before any model sees it."""
     df = route_model(redact_pii(df), prefer_local=prefer_local)
     df = df.withColumns({
         "prompt_name": F.concat(F.lit("extraction-"), "document_type"),
         "prompt_version": F.lit(PROMPT_VERSION),
     })
-    df = enrich(batch_inference(df, call), registry, icd10, cpt)
+    df = batch_inference(df, call, prompt_chars=prompt_chars)
+    if call is not None and any(t is not None for t in (registry, icd10, cpt)):
+        # Lookups read the frame more than once; the model is asked once.
+        df = written(df, "replies")
+    df = enrich(df, registry, icd10, cpt)
     df = score_completeness(ocr_penalty(df))
     r = F.col("reply_call")
     return df.withColumn("call", F.struct(

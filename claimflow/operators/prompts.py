@@ -38,11 +38,10 @@ def default_prompts(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, PROMPT)
 
 
-def registered(prompts: DataFrame, load_order: str | None = None) -> DataFrame:
+def registered(prompts: DataFrame, load_order: str) -> DataFrame:
     """One row per (name, version): the one loaded last. Combined before the shuffle."""
     rest = [c for c in prompts.columns if c not in ("name", "version", load_order)]
-    order = F.col(load_order) if load_order else F.lit(0)
-    last = F.max_by(F.struct(*rest), order).alias("p")
+    last = F.max_by(F.struct(*rest), F.col(load_order)).alias("p")
     return prompts.groupBy("name", "version").agg(last).select("name", "version", "p.*")
 
 

@@ -47,6 +47,10 @@ def parse_reply(df: DataFrame, reply: str = "reply") -> DataFrame:
     empty_reply = ~F.col("_valid") & (F.col("_object") == "")
     df = df.withColumn("_members", F.when(empty_reply, F.array().cast("array<struct<key:string,value:string>>"))
                        .otherwise(F.map_entries(object_map(F.col("_object")))))
+    # Of a repeated key the last member counts.
+    keys = F.reverse(F.transform("_members", lambda m: m["key"]))
+    df = df.withColumn("_members", F.filter("_members", lambda m, i: F.array_position(
+        keys, m["key"]) == F.size("_members") - i))
     scalars = F.filter("_members", lambda m: ~m["key"].isin(LIST_FIELDS) & m["value"].isNotNull())
     scalar_fields = F.transform(scalars, lambda m: _member(m["key"], m["value"]))
 

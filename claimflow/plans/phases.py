@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import sinks
+from ..fixed import MAX_PROMPT_CHARS, MODEL_EXCERPT
 from ..functions.fence import settle
 from ..operators.classify import cascade, close_out
 from ..operators.decide import dispatch
@@ -40,6 +41,9 @@ class Services:
     cpt: DataFrame | None = None
     providers: DataFrame | None = None
     prefer_local: bool = False
+    #: Characters of a document that a type prompt and an extraction prompt carry to a model.
+    excerpt_chars: int = MODEL_EXCERPT
+    prompt_chars: int = MAX_PROMPT_CHARS
 
 
 def ingest(raw: DataFrame, run_ts: Column | None = None) -> DataFrame:
@@ -74,12 +78,13 @@ def only_open(df: DataFrame, phase: Callable[[DataFrame], DataFrame], name: str,
 
 
 def classification(df: DataFrame, s: Services) -> DataFrame:
-    return only_open(df, lambda d: close_out(cascade(d, s.model, s.classify_call)),
+    return only_open(df, lambda d: close_out(cascade(d, s.model, s.classify_call, excerpt_chars=s.excerpt_chars)),
                      "classification", ["document_type", "errors", "disposition"])
 
 
 def extraction(df: DataFrame, s: Services) -> DataFrame:
-    return only_open(df, lambda d: extract(d, s.call, s.registry, s.icd10, s.cpt, s.prefer_local),
+    return only_open(df, lambda d: extract(
+        d, s.call, s.registry, s.icd10, s.cpt, s.prefer_local, s.prompt_chars),
                      "extraction", [])
 
 

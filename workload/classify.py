@@ -90,14 +90,14 @@ def type_reply(spark, sf):
 
 
 def labelled_documents(spark, sf):
-    """Half of the labelled documents train, by the given quality label; a join on the document id."""
+    """All labelled documents, by the given quality label."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
     labels = table(spark, sf, "labels").select("doc_id", F.col("quality").cast("string").alias("label"))
     return docs.join(labels, "doc_id")
 
 
 def train_text_model(spark, sf):
-    model = TextModel.train(labelled_documents(spark, sf), vocabulary=2000, min_documents=5, iterations=40)
+    model = TextModel.train(labelled_documents(spark, sf), vocabulary=20_000, min_documents=2, iterations=1000)
     return spark.createDataFrame([(n, len(model.idf)) for n in model.labels], "label string, terms long")
 
 
@@ -111,7 +111,7 @@ def predict_top2(spark, sf):
 def model_persist(spark, sf):
     """Train on the labelled documents, save, load and score with what was loaded."""
     path = scratch(spark, "textmodel")
-    TextModel.train(labelled_documents(spark, sf), vocabulary=500, min_documents=5, iterations=20).save(path)
+    TextModel.train(labelled_documents(spark, sf), vocabulary=20_000, min_documents=2, iterations=1000).save(path)
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return TextModel.load(path).score(spread(docs), "text").select("doc_id", "tm_type", "tm_conf")
 

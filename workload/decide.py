@@ -162,7 +162,7 @@ QUERIES = {f.__name__: f for f in (
 
 F_ACT = "list_distinct(list_transform(list_filter(f0, lambda q: q.n = name), lambda q: upper(q.v)))"
 SCORES = f"""{S.DOCS},
-x0 AS (SELECT *, NULL::VARCHAR AS closed2, full_text AS safe_text, {S.strip("left(full_text, 6000)")} AS x FROM docs WHERE error IS NULL AND source IN ('hl7v2', 'edi837', 'fhir_r4')),
+x0 AS (SELECT *, NULL::VARCHAR AS closed2, full_text AS safe_text, {S.strip("full_text")} AS x FROM docs WHERE error IS NULL AND source IN ('hl7v2', 'edi837', 'fhir_r4')),
 dispatched AS (SELECT *, CASE source WHEN 'fhir_r4' THEN 'bundle' WHEN 'hl7v2' THEN 'hl7' ELSE CASE WHEN starts_with(x, 'ISA*') THEN 'edi' ELSE 'text' END END AS xkind FROM x0),
 {S.EXTRACTED[S.EXTRACTED.index('opened2 AS ('):S.EXTRACTED.index('enriched AS (')].rstrip().rstrip(',')},
 pairs AS (

@@ -102,7 +102,7 @@ def extract_dispatch(spark, sf):
 
 def extract_prose(spark, sf):
     """The extractor on prose: whole texts, nothing cut at the prompt length."""
-    df = extract_builtin(prose(spark, sf).withColumnRenamed("text", "safe_text"), max_chars=None)
+    df = extract_builtin(prose(spark, sf).withColumnRenamed("text", "safe_text"))
     return df.select("doc_id", F.size("fields").cast("bigint").alias("n_fields"))
 
 
