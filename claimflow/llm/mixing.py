@@ -184,7 +184,9 @@ def mix(df: DataFrame, block: int = 32, id_col: str = "doc_id", text_col: str =
     known = _known_sources(df, plan)  # at most MAX_SOURCES rows
     rows = rows.join(F.broadcast(known), rows["_source"].eqNullSafe(known["_s"])).drop("_s")
     slots = slot_table(df, plan, shards, seed)
-    uses = slots.groupBy(F.col("at").alias("_at"), F.col("block").alias("_block")).agg(F.count("*").alias("_uses"))
+    # Written: the planner knows its true size then, and does not take it for one to broadcast.
+    uses = stored(slots.groupBy(F.col("at").alias("_at"), F.col("block").alias("_block")).agg(
+        F.count("*").alias("_uses")), "uses")
     taken = _spans(rows, block).join(uses, ["_at", "_block"]).groupBy("_at", "_start").agg(
         F.sum(F.col("_words") * F.col("_uses")).alias("_taken")).withColumnsRenamed({"_at": "_a", "_start": "_b"})
     on = (rows["_at"] == taken["_a"]) & (rows["_start"] == taken["_b"]) & (rows["_size"] > 0)
@@ -207,8 +209,8 @@ def mixed_documents(df: DataFrame, block: int = 1024, id_col: str = "doc_id", te
     plan = source_plan(rows, block, weights, share, limit)
     known = _known_sources(df, plan)
     rows = rows.join(F.broadcast(known), rows["_source"].eqNullSafe(known["_s"])).drop("_s")
-    slots = slot_table(df, plan, shards, seed).select(
-        F.col("at").alias("_at"), F.col("block").alias("_block"), F.col("epoch").alias("_epoch"))
+    slots = stored(slot_table(df, plan, shards, seed).select(
+        F.col("at").alias("_at"), F.col("block").alias("_block"), F.col("epoch").alias("_epoch")), "slots")
     # A document's own blocks: as many as it has words, at most.
     taken = _spans(rows, block).join(slots, ["_at", "_block"]).groupBy("_at", "_start").agg(
         F.sort_array(F.collect_list(F.struct("_epoch", "_block"))).alias("_taken"))
