@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from claimflow.llm.common import stored
 
 EDGES = "u long, v long"
+#: Links that one task may hold; more are worked on in rounds over all tasks.
+ONE_TASK = 500_000
 
 
 def _forest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -50,13 +52,24 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out if large else out.distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
+def _labels(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every node of one partition's links with the smallest node it reaches there."""
+    for stars in _forest(batches):
+        roots = stars.column(1).unique()
+        yield pa.RecordBatch.from_arrays([pa.concat_arrays([stars.column(0), roots]),
+                                          pa.concat_arrays([stars.column(1), roots])], names=["node", "component"])
+
+
+def components(links: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     """``node, component`` for every node of ``links`` (columns u, v): the smallest node it reaches.
 
-    Each partition first shrinks its own links to stars; then large and small stars alternate until
-    nothing changes, in a number of rounds that grows with the logarithm of the longest chain.
+    Each partition first shrinks its own links to stars. If at most ``one_task`` links remain (16 bytes
+    each), one task ends the work; otherwise large and small stars alternate until nothing changes, in
+    a number of rounds that grows with the logarithm of the longest chain. Both give the same rows.
     """
     edges = stored(links.where("u <> v").mapInArrow(_forest, EDGES), "forest")
+    if edges.count() <= one_task:
+        return stored(edges.coalesce(1).mapInArrow(_labels, "node long, component long"), "components")
     mark = None
     while True:
         edges = stored(_star(_star(edges, True), False), "stars")

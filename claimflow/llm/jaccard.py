@@ -322,16 +322,15 @@ def verified(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     """
     small_batches(rows.sparkSession)
     pairs = stored(pairs.select("a", "b").where("a <> b").distinct(), "pairs")
-    many = pairs.groupBy(F.col("a").alias("_a")).agg(F.ceil(F.count("*") / PARTNERS).alias("_parts"))
-    dealt = pairs.join(many, F.col("a") == F.col("_a")).select(
-        "a", "b", F.pmod(F.xxhash64("b"), F.col("_parts")).cast("int").alias("part"))
-    dealt = stored(dealt, "dealt-pairs")
-    to = dealt.select(F.col("b").alias("_to"), F.struct("a", "part", F.lit(True).alias("partner")).alias("_at"))
-    own = dealt.select("a", "part").distinct().select(
-        F.col("a").alias("_to"), F.struct("a", "part", F.lit(False).alias("partner")).alias("_at"))
-    ways = to.unionByName(own).groupBy("_to").agg(F.collect_list("_at").alias("_ways"))
-    ways = stored(ways, "ways")
-    texts = sifted(rows, sieve(ways.select("_to").coalesce(8))).join(ways, F.col("_id") == F.col("_to")).select("_id", "_text", "_ways")
+    parts = pairs.groupBy(F.col("a").alias("_a")).agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("_parts"))
+    dealt = pairs.join(parts.where("_parts > 1"), F.col("a") == F.col("_a"), "left")
+    part = F.coalesce(F.pmod(F.xxhash64("b"), F.col("_parts")), F.lit(0)).cast("int").alias("part")
+    to = dealt.select(F.col("b").alias("_to"), F.struct("a", part, F.lit(True).alias("partner")).alias("_at"))
+    own = parts.select("_a", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("part")).select(
+        F.col("_a").alias("_to"), F.struct(F.col("_a").alias("a"), "part", F.lit(False).alias("partner")).alias("_at"))
+    ways = to.unionByName(own).groupBy("_to").agg(F.collect_list("_at").alias("_ways")).hint("merge")
+    met = sieve(pairs.select(F.explode(F.array("a", "b"))).coalesce(8))
+    texts = sifted(rows, met).join(ways, F.col("_id") == F.col("_to")).select("_id", "_text", "_ways")
 
     def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["a", "part", "partner", "id", "shingles"]
@@ -407,22 +406,26 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     # Copies of a set under ids of their own are found again through the set; only ids shared by sets link here.
     twice = full.groupBy("_id").agg(F.countDistinct("set_key").alias("k")).where("k > 1").select(F.col("_id").alias("_d"))
     shared_ids = same_id.join(twice, F.col("u") == F.col("_d"), "left_semi")
-    def placed_by(links: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Members with their component, and the shared postings with their group's."""
+
+    def placed_by(links: DataFrame) -> DataFrame:
+        """Members with their group and component."""
         found = components(links)
-        at = members.select("rep", "group").join(found, F.col("rep") == F.col("node"), "left").select(
+        return members.select("rep", "group").join(found, F.col("rep") == F.col("node"), "left").select(
             "rep", "group", F.coalesce("component", "rep").alias("component"))
-        at = stored(at, "placed")
+
+    def open_by(at: DataFrame) -> DataFrame:
+        """The shared postings with their group's component, by token."""
         state = at.groupBy(F.col("group").alias("_g")).agg(
             F.min("component").alias("component"), (F.min("component") != F.max("component")).alias("mixed"))
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50000")
         open_ = shared.join(state, F.col("group") == F.col("_g")).select(*shared.columns, "component", "mixed")
-        return at, open_.repartition(parallel(df), "token").sortWithinPartitions("token")
+        return open_.repartition(parallel(df), "token").sortWithinPartitions("token")
 
-    _, open_ = placed_by(first.unionByName(shared_ids))
+    open_ = open_by(placed_by(first.unionByName(shared_ids)))
     bridges = verified(rows, open_.mapInArrow(_bridge_pairs, "a long, b long"))
     first = first.unionByName(bridges)
-    placed, open_ = placed_by(first.unionByName(shared_ids))
+    placed = stored(placed_by(first.unionByName(shared_ids)), "placed")
+    open_ = open_by(placed)
     state = placed.groupBy(F.col("group").alias("_g")).agg(
         (F.min("component") != F.max("component")).alias("mixed"))
     crossed = open_.mapInArrow(_cross_pairs, "a long, b long").distinct()
