@@ -8,7 +8,9 @@ A-Z). Two documents link when their sets overlap in at least 80 % of their union
    first. Linked sets share a shingle among their first ``n - ceil(0.8 n) + 1``.
 3. Sets of equal size and prefix are one group. Groups meet at the shingles of their prefixes, and a
    pair of groups must pass the size and the position filter.
-4. Pairs of groups are expanded to members and verified on the whole sets, taken from the text again.
+4. Pairs of groups are expanded to members. Counts of a set's shingles in ``BUCKETS`` buckets bound the
+   overlap from above and rule most pairs out; the rest is verified on the whole sets, taken from the
+   text again.
 5. That happens in three rounds. First each group meets only the first group and two neighbours at each of its
    ``NEAR`` rarest shared shingles, at most ``3 * NEAR`` partners, which joins most of a large
    group of near copies. Then a group outside the largest component at a shingle meets ``BRIDGES`` of
@@ -29,6 +31,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,6 +48,8 @@ PARTNERS = 500
 NEAR = 6
 #: Members of a shingle's largest component that a group outside it meets there.
 BRIDGES = 32
+#: Buckets of a set's histogram, which bounds an overlap before whole sets travel.
+BUCKETS = 128
 #: Bits of the filter that keeps texts no pair needs out of a shuffle, a table of fixed size.
 SIEVE_BITS = 26
 _STEP = [pow(0x9E3779B97F4A7C15 | 1, k + 1, 1 << 64) for k in range(WORDS)]
@@ -115,13 +120,19 @@ def shingle_counts(rows: DataFrame) -> np.ndarray:
     return total.ravel()
 
 
+def histogram(shingles: np.ndarray) -> bytes | None:
+    """How many shingles fall in each bucket; None if a count needs more than a byte."""
+    counts = np.bincount((shingles & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else None
+
+
 def signatures(rows: DataFrame, counts: np.ndarray) -> DataFrame:
-    """``_id, n, set_key, group_key, prefix`` of each row (columns _id, _text)."""
+    """``_id, n, set_key, group_key, prefix, hist`` of each row (columns _id, _text)."""
     shared = rows.sparkSession.sparkContext.broadcast(counts)
 
     def sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, sets, groups, prefixes = [], [], [], []
+            n, sets, groups, prefixes, hists = [], [], [], [], []
             for s in shingle_sets(batch.column(1)):
                 size = len(s)
                 take = size - needed(size) + 1 if size else 0
@@ -131,12 +142,14 @@ def signatures(rows: DataFrame, counts: np.ndarray) -> DataFrame:
                 sets.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 groups.append(hashlib.blake2b(prefix + size.to_bytes(8, "little"), digest_size=16).digest())
                 prefixes.append(prefix)
+                hists.append(histogram(s))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), *(pa.array(x, pa.binary()) for x in (sets, groups, prefixes))],
-                names=["_id", "n", "set_key", "group_key", "prefix"])
+                [batch.column(0), pa.array(n, pa.int64()),
+                 *(pa.array(x, pa.binary()) for x in (sets, groups, prefixes, hists))],
+                names=["_id", "n", "set_key", "group_key", "prefix", "hist"])
 
     return rows.select("_id", "_text").mapInArrow(
-        sign, "_id long, n long, set_key binary, group_key binary, prefix binary")
+        sign, "_id long, n long, set_key binary, group_key binary, prefix binary, hist binary")
 
 
 POSTING = "token long, group long, n long, at int"
@@ -314,14 +327,35 @@ def sifted(rows: DataFrame, bits: np.ndarray) -> DataFrame:
     return rows.where(F.arrow_udf(held, "boolean")(F.col("_id")))
 
 
-def verified(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+def possible(pairs: DataFrame, hists: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose histograms (``rep, hist``) allow enough overlap, or are missing."""
+
+    def allowed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            known = pc.is_valid(batch.column(2)).to_numpy(False) & pc.is_valid(batch.column(3)).to_numpy(False)
+            x, y = (np.frombuffer(b"".join(batch.column(c).filter(pa.array(known)).to_pylist()), np.uint8)
+                    .reshape(-1, BUCKETS).astype(np.int64) for c in (2, 3))
+            keep = ~known
+            keep[known] = 9 * np.minimum(x, y).sum(1) >= 4 * (x.sum(1) + y.sum(1))
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep)) for i in (0, 1)], names=["a", "b"])
+
+    near = sifted(hists.select(F.col("rep").alias("_id"), "hist"), sieve(pairs.select(F.explode(F.array("a", "b"))).coalesce(8)))
+    near = stored(near, "near-histograms")
+    one, two = (near.select(F.col("_id").alias(f"_{c}"), F.col("hist").alias(f"_h{c}")) for c in "ab")
+    both = pairs.join(one, F.col("a") == F.col("_a"), "left").join(two, F.col("b") == F.col("_b"), "left")
+    return both.select("a", "b", "_ha", "_hb").mapInArrow(allowed, "a long, b long")
+
+
+def verified(rows: DataFrame, pairs: DataFrame, hists: DataFrame) -> DataFrame:
     """Those of ``pairs`` (a, b) whose whole sets link, as links ``u, v``.
 
-    A set travels to each document it is paired with as ``b``; a document with many partners has
-    them dealt over several tasks, its own set going to each.
+    Pairs whose histograms rule a link out go first. Then a set travels to each document it is paired
+    with as ``b``; a document with many partners has them dealt over several tasks, its own set going
+    to each.
     """
     small_batches(rows.sparkSession)
-    pairs = stored(pairs.select("a", "b").where("a <> b").distinct(), "pairs")
+    met = stored(pairs.select("a", "b").where("a <> b").distinct(), "pairs")
+    pairs = stored(possible(met, hists), "possible-pairs")
     parts = pairs.groupBy(F.col("a").alias("_a")).agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("_parts"))
     dealt = pairs.join(parts.where("_parts > 1"), F.col("a") == F.col("_a"), "left")
     part = F.coalesce(F.pmod(F.xxhash64("b"), F.col("_parts")), F.lit(0)).cast("int").alias("part")
@@ -383,7 +417,9 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     full = signed.where("n > 0 AND _id IS NOT NULL")
     # Copies: one representative a set, and links between sets that share an id.
     reps = stored(full.groupBy("set_key").agg(F.min("_id").alias("rep"), F.min("group_key").alias("group_key"),
-                                              F.min("n").alias("n")), "sets")
+                                              F.min("n").alias("n"), F.min("hist").alias("hist")), "sets")
+    # An id that stands for several sets has no histogram.
+    hists = stored(reps.groupBy("rep").agg(F.when(F.count("*") == 1, F.min("hist")).alias("hist")), "histograms")
     same_id = full.select("_id", "set_key").join(reps, "set_key").select(
         F.col("_id").alias("u"), F.col("rep").alias("v")).where("u <> v")
     groups = reps.groupBy("group_key").agg(F.min("rep").alias("group"), F.count("*").alias("members"))
@@ -402,7 +438,7 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     ordered = few.repartition(parallel(df), "token").sortWithinPartitions("token", band, F.xxhash64("group", "token"))
     near = ordered.mapInArrow(_near_pairs, "a long, b long")
     inside = members.where("members > 1 AND rep <> group").select(F.col("group").alias("a"), F.col("rep").alias("b"))
-    first = verified(rows, near.unionByName(inside))
+    first = verified(rows, near.unionByName(inside), hists)
     # Copies of a set under ids of their own are found again through the set; only ids shared by sets link here.
     twice = full.groupBy("_id").agg(F.countDistinct("set_key").alias("k")).where("k > 1").select(F.col("_id").alias("_d"))
     shared_ids = same_id.join(twice, F.col("u") == F.col("_d"), "left_semi")
@@ -422,7 +458,7 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         return open_.repartition(parallel(df), "token").sortWithinPartitions("token")
 
     open_ = open_by(placed_by(first.unionByName(shared_ids)))
-    bridges = verified(rows, open_.mapInArrow(_bridge_pairs, "a long, b long"))
+    bridges = verified(rows, open_.mapInArrow(_bridge_pairs, "a long, b long"), hists)
     first = first.unionByName(bridges)
     placed = stored(placed_by(first.unionByName(shared_ids)), "placed")
     open_ = open_by(placed)
@@ -435,7 +471,7 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     own = left.join(state.where("mixed"), F.col("a") == F.col("_g"), "left_semi")
     mixed = own.join(right, F.col("a") == F.col("b")).where("ca <> cb AND ra < rb").select(
         F.col("ra").alias("a"), F.col("rb").alias("b"))
-    more = verified(rows, rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(mixed))
+    more = verified(rows, rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(mixed), hists)
     links = first.unionByName(more).unionByName(shared_ids)
     final = components(links)
     degree = first.unionByName(more)

@@ -164,11 +164,23 @@ def test_jaccard_classes(docs, rows, none, monkeypatch):
     assert jaccard.keep_one(none).columns == none.columns
 
 
-def test_components_of_a_long_chain(spark):
+@pytest.mark.parametrize("one_task", [0, components.ONE_TASK])
+def test_components_of_a_long_chain(spark, one_task):
     links = spark.range(500).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
     links = links.unionByName(spark.createDataFrame([(1000, 1001), (7, 7)], "u long, v long"))
-    got = dict(components.components(links.repartition(16)).collect())
+    got = dict(components.components(links.repartition(16), one_task).collect())
     assert got == {**{i: 0 for i in range(501)}, 1000: 1000, 1001: 1000}
+    assert components.components(links.limit(0), one_task).count() == 0
+
+
+def test_histograms_bound_the_overlap():
+    rng = np.random.default_rng(5)
+    for n in (1, 40, 3000):
+        both = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        one, two = (np.unique(np.concatenate([both, rng.integers(0, 1 << 63, n // 4).astype(np.uint64)])) for _ in "ab")
+        x, y = (np.frombuffer(jaccard.histogram(s), np.uint8).astype(int) for s in (one, two))
+        assert x.sum() == len(one) and np.minimum(x, y).sum() >= len(np.intersect1d(one, two))
+    assert jaccard.histogram(np.arange(256, dtype=np.uint64) * np.uint64(jaccard.BUCKETS)) is None
 
 
 def test_top_k(spark):
