@@ -39,8 +39,9 @@ from claimflow.llm.common import blocks, mix, parallel, small_batches, stored, t
 from claimflow.llm.components import components
 
 WORDS = 5
-#: Buckets of the shingle counts, a table of fixed size.
-COUNT_BITS = 18
+#: Buckets of the shingle counts, a table of fixed size. With few buckets all get about equal counts, and
+#: frequent shingles are no longer told from rare ones. That costs time, not links.
+COUNT_BITS = 22
 SLICES = 64
 #: Partners of one document that a task verifies; more are dealt to several.
 PARTNERS = 500
@@ -95,29 +96,38 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if held:
         total += np.bincount(np.concatenate(seen), minlength=len(total))
     for k, part in enumerate(np.split(total, SLICES)):
-        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())],
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([_narrow(part)], pa.binary())],
                                          names=["slice", "counts"])
 
 
+def _narrow(part: np.ndarray) -> bytes:
+    """Counts of a slice in as few bytes each as its largest one needs."""
+    return part.astype(np.min_scalar_type(int(part.max()))).tobytes()
+
+
+def _wide(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"u{len(data) * SLICES >> COUNT_BITS}").astype(np.int64)
+
+
 def _add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for k, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            total[k] = total.get(k, 0) + np.frombuffer(c, np.int64)
+            total[k] = total.get(k, 0) + _wide(c)
     for k, c in total.items():
-        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([c.tobytes()], pa.binary())],
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([_narrow(c)], pa.binary())],
                                          names=["slice", "counts"])
 
 
 def shingle_counts(rows: DataFrame) -> np.ndarray:
-    """How often each of ``2^COUNT_BITS`` hash buckets was seen, over all documents: 2 MB, always."""
+    """How often each of ``2^COUNT_BITS`` hash buckets was seen, over all documents: at most 32 MB."""
     kind = "slice int, counts binary"
     parts = rows.select("_text").mapInArrow(_count, kind)
     got = parts.repartition(SLICES, "slice").mapInArrow(_add, kind).collect()
     total = np.zeros((SLICES, (1 << COUNT_BITS) // SLICES), np.int64)
     for r in got:
-        total[r["slice"]] += np.frombuffer(r["counts"], np.int64)
-    return total.ravel()
+        total[r["slice"]] += _wide(r["counts"])
+    return total.ravel().astype(np.min_scalar_type(int(total.max())))
 
 
 def histogram(shingles: np.ndarray) -> bytes | None:
