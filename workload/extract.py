@@ -13,11 +13,12 @@ from claimflow.operators.extract import extract_builtin
 from claimflow.operators.infer import batch_inference
 from claimflow.operators.meter import call_records, call_summary, token_cost
 from claimflow.operators.reply import parse_reply
+from claimflow.plans.phases import Services, extraction
 from claimflow.sources.landing import spread
 
 from . import sql as S
 from .corpus import table
-from .stages import classified, extracted, live_extracted
+from .stages import classified, extracted
 
 
 def prose(spark, sf):
@@ -29,11 +30,11 @@ def done(spark, sf):
 
 
 def live(spark, sf, *sources, **services):
-    """The extraction phase itself, over the documents of the named sources."""
-    df = live_extracted(spark, sf, **services)
+    """The extraction phase itself, over the documents of the named sources, which the scan picks."""
+    df = classified(spark, sf)
     if sources:
         df = df.where(F.col("source").isin(list(sources)))
-    return df.where(F.col("fields").isNotNull())
+    return extraction(df, Services(**services)).where(F.col("fields").isNotNull())
 
 
 def redact_pii(spark, sf):
