@@ -1,13 +1,16 @@
 """Main text of web pages by site template removal.
 
-A page is parsed into an element tree. Every container element outside the prose (menus, boxes,
-lists, tables, headers, footers) gets a hash of its whole subtree; Spark counts, for each host, on how
-many pages with different main text a subtree occurs, and subtrees that recur on at least
-``MIN_PAGES`` of them are template and are deleted. Counting different main texts, not pages, keeps
-what recurs only because a page has copies. Prose itself (headings, paragraphs, quotes, code,
-articles and whatever holds an article) is never taken for template, however often a passage recurs.
-A host with few pages shows no template, so elements that say what they are by tag, role or class
-(nav, aside, footer, form, "ad", "comments" ...) go too.
+A page is parsed into an element tree. Every container element outside ``article``, ``main`` and prose
+(menus, boxes, lists, tables, headers, footers) gets a hash of its whole subtree; Spark counts, for each
+host, on how many pages with different prose outside it a subtree occurs. Subtrees on at least
+``MIN_PAGES`` of them, and on ``MIN_SHARE`` of the host's pages with different main text, are template
+and are deleted. Counting different prose outside the subtree, not pages, keeps what recurs only because
+a page has copies, under whatever title. Nothing in an ``article`` or ``main`` element is deleted by
+count, nor any paragraph, quote or code, nor a container with half of the page's prose. Where a page has
+no such element and its copies differ in a paragraph, the smaller parts of a divided body can still count
+as template, if they stand on that share of the host. A host with few pages shows no template, so
+elements that say what they are by tag, role or class (nav, aside, footer, form, "ad", "comments" ...)
+go too.
 
 The main text is what remains of the page's outermost ``article`` elements, else of ``main``, else of
 the body. A block ends at every block-level tag and at ``br``.
@@ -32,6 +35,8 @@ from pyspark.sql import functions as F
 from claimflow.llm.common import small_batches, stored
 
 MIN_PAGES = 5
+#: Template stands on this part of a host's distinct pages, too.
+MIN_SHARE = 0.25
 
 # Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -66,6 +71,9 @@ PROSE = frozenset("html body article main p h1 h2 h3 h4 h5 h6 hgroup pre blockqu
 CONTAINER = frozenset(
     "nav aside footer header div section ul ol dl table form menu details fieldset address center".split())
 
+#: Elements whose texts tell pages apart.
+PARAGRAPH = frozenset("p pre blockquote figcaption".split())
+
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -196,7 +204,7 @@ def main_text(roots: list[Node], in_article: bool, template: frozenset | set = f
             if isinstance(child, str):
                 blocks[-1].append(child)
                 continue
-            if dropped(child, in_article) or (template and hashes.get(id(child)) in template):
+            if dropped(child, in_article) or (template and hashes.get(id(child), ("",))[0] in template):
                 if child.tag in BLOCK:
                     blocks.append([])
                 continue
@@ -213,27 +221,55 @@ def main_text(roots: list[Node], in_article: bool, template: frozenset | set = f
     return "\n".join(t for t in texts if t)
 
 
-def subtree_hashes(root: Node) -> dict[int, str]:
-    """Hash of each container subtree that holds no main element, by node."""
-    out: dict[int, str] = {}
+def subtree_hashes(root: Node) -> dict[int, tuple[str, str]]:
+    """Hash of each container subtree that can be template, by node, and a digest of the prose outside it.
 
-    def walk(node: Node) -> tuple[bytes, bool]:
-        digest, prose = hashlib.sha1(f"<{node.tag} {_SPACE.sub(' ', node.attributes).strip()}>".encode()), False
-        for child in node.children:
+    Containers in, or around, a main element or in prose cannot, nor those that hold half of the page's
+    prose. The digest is a sum over paragraphs, so that a subtree's own share can be taken off it; it is
+    empty on a page without prose.
+    """
+    found: list[tuple[int, str, int, int]] = []
+    words: list[str] = []
+
+    def enter(node: Node, kept: bool, quiet: bool, prose: bool) -> list:
+        start = hashlib.sha1(f"<{node.tag} {_SPACE.sub(' ', node.attributes).strip()}>".encode("utf-8", "surrogatepass"))
+        # node, digest, children, holds a main element, sum and length of prose, in a main element, dropped, in prose
+        return [node, start, iter(node.children), False, 0, 0, kept, quiet, prose]
+
+    stack = [enter(root, False, False, False)]
+    while True:
+        at = stack[-1]
+        node, digest, children, _, _, _, kept, quiet, prose = at
+        for child in children:
             if isinstance(child, str):
                 digest.update(_SPACE.sub(" ", child).encode("utf-8", "surrogatepass"))
-            else:
-                d, p = walk(child)
-                digest.update(d)
-                prose |= p
-        prose |= node.tag in ("article", "main", "body")
-        done = digest.digest()
-        if node.tag in CONTAINER and not prose:
-            out[id(node)] = done.hex()
-        return done, prose
-
-    walk(root)
-    return out
+                if prose and not quiet:
+                    words.append(child)
+                continue
+            inside = kept or child.tag in ("article", "main")
+            stack.append(enter(child, inside, quiet or dropped(child, inside), prose or child.tag in PARAGRAPH))
+            break
+        else:
+            stack.pop()
+            if prose and not (stack and stack[-1][8]):
+                text = _SPACE.sub(" ", entities.unescape("".join(words))).strip()
+                words.clear()
+                if text:
+                    own = hashlib.sha1(text.encode("utf-8", "surrogatepass")).digest()
+                    at[4], at[5] = int.from_bytes(own, "big"), len(text)
+            at[3] |= node.tag in ("article", "main", "body")
+            done = digest.digest()
+            if node.tag in CONTAINER and not (at[3] or kept or prose):
+                found.append((id(node), done.hex(), at[4], at[5]))
+            if not stack:
+                break
+            up = stack[-1]
+            up[1].update(done)
+            up[3] |= at[3]
+            up[4] += at[4]
+            up[5] += at[5]
+    total, length = at[4], at[5]
+    return {i: (h, f"{total - own:x}" if length else "") for i, h, own, n in found if not n or 2 * n < length}
 
 
 def host_of(url: str | None) -> str:
@@ -256,14 +292,14 @@ def _evidence(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hashes = subtree_hashes(root)
             main = hashlib.sha1(main_text(*main_elements(root)).encode("utf-8", "surrogatepass")).hexdigest()
             key, host = _key(url, page), host_of(url)
-            for h in set(hashes.values()):
-                for col, v in zip(out, (key, host, h, main), strict=True):
+            for h, rest in {("", main), *hashes.values()}:  # the empty subtree counts the host's pages
+                for col, v in zip(out, (key, host, h, rest or main), strict=True):
                     col.append(v)
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in out], names=names)
 
 
 def site_templates(pages: DataFrame, url_col: str = "url", html_col: str = "html",
-                   min_pages: int = MIN_PAGES) -> DataFrame:
+                   min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """``key, templates``: for each distinct page, the hashes of its subtrees that are site template.
 
     Only hashes are shuffled. A subtree on every page of a large host is counted after each task has
@@ -272,19 +308,22 @@ def site_templates(pages: DataFrame, url_col: str = "url", html_col: str = "html
     small_batches(pages.sparkSession)
     rows = pages.select(url_col, html_col).mapInArrow(_evidence, "key string, host string, subtree string, main string")
     seen = stored(rows, "subtrees")
-    counts = seen.select("host", "subtree", "main").distinct().groupBy("host", "subtree").count()
-    template = stored(counts.where(F.col("count") >= min_pages).select(
-        F.col("host").alias("_host"), F.col("subtree").alias("_subtree")), "templates")
+    counts = stored(seen.select("host", "subtree", "main").distinct().groupBy("host", "subtree").count().where(
+        (F.col("count") >= min_pages) | (F.col("subtree") == "")), "subtree-counts")
+    hosts = counts.where(F.col("subtree") == "").select(F.col("host").alias("_host"), F.col("count").alias("_pages"))
+    template = stored(counts.where(F.col("subtree") != "").join(hosts, F.col("host") == F.col("_host")).where(
+        F.col("count") >= min_share * F.col("_pages")).select(
+        "_host", F.col("subtree").alias("_subtree")), "templates")
     on = (seen["host"] == template["_host"]) & (seen["subtree"] == template["_subtree"])
     found = seen.select("key", "host", "subtree").distinct().join(template, on)
     return found.groupBy("key").agg(F.collect_set("subtree").alias("templates"))  # of one page
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
-            min_pages: int = MIN_PAGES) -> DataFrame:
+            min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """``id, url, text, n_chars`` of every page."""
     small_batches(pages.sparkSession)
-    templates = stored(site_templates(pages, url_col, html_col, min_pages).withColumnsRenamed({"key": "_key"}),
+    templates = stored(site_templates(pages, url_col, html_col, min_pages, min_share).withColumnsRenamed({"key": "_key"}),
                        "page-templates")
     key = F.sha1(F.concat(F.coalesce(F.col(url_col), F.lit("None")), F.lit("\0"),
                           F.coalesce(F.col(html_col), F.lit("None"))).cast("binary"))

@@ -400,3 +400,19 @@ def test_templates_go_and_copies_stay(spark):
     assert text[20] == "Our shop sells things\nStory 20 here\nTail"
     assert text[21] == text[22] == text[23] == ""
     assert html.extract(df.limit(0)).count() == 0
+
+
+def test_content_is_no_template_by_count(spark):
+    body = "<div class=content><p>The same long story on all of these pages.<p>It goes on.</div>"
+    box = "<ul><li>Salt</ul><table><tr><td>Flour</table>"
+    pages = [("http://copies.example", f"<h1>Title {i}</h1><span>May {i}</span>{body}") for i in range(6)]
+    pages += [("http://big.example", f"<h1>Soup {i}</h1><p>Cook {i}</p>{box if i < 5 else ''}") for i in range(40)]
+    pages += [("http://in.example", f"<article><p>Cake {i}</p>{box}</article>") for i in range(6)]
+    pages += [("http://main.example", f"<main><p>Pie {i}</p>{box}</main>") for i in range(6)]
+    pages += [("http://boxes.example", f"<div><p>Buy</p></div><p>News {i}</p>{box}") for i in range(6)]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    text = [r["text"] for r in html.extract(df).orderBy("page_id").collect()]
+    assert text[:6] == [f"Title {i}\nMay {i}\nThe same long story on all of these pages.\nIt goes on." for i in range(6)]
+    assert text[6:11] == [f"Soup {i}\nCook {i}\nSalt\nFlour" for i in range(5)]
+    assert text[46:58] == [f"{k} {i}\nSalt\nFlour" for k in ("Cake", "Pie") for i in range(6)]
+    assert text[58:] == [f"News {i}" for i in range(6)]  # template still goes
