@@ -46,6 +46,7 @@ BLOCK = frozenset(
     " form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol optgroup option p pre section select summary"
     " table tbody td tfoot th thead title tr ul".split())
 CLOSES_P = BLOCK - frozenset("br body html head option optgroup td th tr tbody thead tfoot title".split())
+P_BORDERS = frozenset("table td th button object article section div li body".split())
 #: A start tag closes these open elements, unless one of the second set stands between.
 AUTO_CLOSE = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
@@ -82,10 +83,12 @@ _WORD = re.compile(r"[a-z]+(?:-[a-z]+)*")
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "children", "parent")
+    __slots__ = ("tag", "attributes", "children", "parent", "in_p")
 
     def __init__(self, tag: str, attributes: str, parent: Node | None):
         self.tag, self.attributes, self.children, self.parent = tag, attributes, [], parent
+        #: Whether a new block closes a paragraph here; deep pages are not climbed to find out.
+        self.in_p = tag == "p" or (parent is not None and parent.in_p and tag not in P_BORDERS)
 
 
 def parse(page: str) -> Node:
@@ -112,8 +115,8 @@ def parse(page: str) -> Node:
             elif tag in ("p", "br"):
                 at.children.append(Node(tag, "", at))
             continue
-        if tag in CLOSES_P:
-            at = _closed(at, {"p"}, {"table", "td", "th", "button", "object", "article", "section", "div", "li", "body"})
+        if tag in CLOSES_P and at.in_p:
+            at = _closed(at, {"p"}, P_BORDERS)
         if tag in AUTO_CLOSE:
             at = _closed(at, *AUTO_CLOSE[tag])
         if tag in ("body", "html") and any(x.tag == tag for x in _upwards(at)):
@@ -175,15 +178,16 @@ def dropped(node: Node, in_article: bool) -> bool:
     return bool(parts & DROP_WORDS)
 
 
-def _find(node: Node, tag: str) -> list[Node]:
+def _find(root: Node, tag: str) -> list[Node]:
     """Outermost elements with a tag that stand in nothing dropped."""
-    out = []
-    for child in node.children:
+    out, rest = [], root.children[::-1]
+    while rest:
+        child = rest.pop()
         if isinstance(child, Node):
             if child.tag == tag:
                 out.append(child)
             elif not dropped(child, False):
-                out += _find(child, tag)
+                rest += child.children[::-1]
     return out
 
 
@@ -199,24 +203,24 @@ def main_text(roots: list[Node], in_article: bool, template: frozenset | set = f
     """Blocks of the given elements without what is dropped or template."""
     blocks: list[list[str]] = [[]]
 
-    def walk(node: Node) -> None:
-        for child in node.children:
-            if isinstance(child, str):
-                blocks[-1].append(child)
-                continue
-            if dropped(child, in_article) or (template and hashes.get(id(child), ("",))[0] in template):
-                if child.tag in BLOCK:
-                    blocks.append([])
-                continue
-            if child.tag in BLOCK:
-                blocks.append([])
-            walk(child)
-            if child.tag in BLOCK:
-                blocks.append([])
-
     for root in roots:
         blocks.append([])
-        walk(root)
+        stack = [(root, iter(root.children))]
+        while stack:
+            node, children = stack[-1]
+            for child in children:
+                if isinstance(child, str):
+                    blocks[-1].append(child)
+                    continue
+                if child.tag in BLOCK:
+                    blocks.append([])
+                if not (dropped(child, in_article) or (template and hashes.get(id(child), ("",))[0] in template)):
+                    stack.append((child, iter(child.children)))
+                    break
+            else:
+                stack.pop()
+                if node.tag in BLOCK:
+                    blocks.append([])
     texts = (_SPACE.sub(" ", entities.unescape("".join(b))).strip() for b in blocks)
     return "\n".join(t for t in texts if t)
 

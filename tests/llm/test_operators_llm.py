@@ -416,3 +416,18 @@ def test_content_is_no_template_by_count(spark):
     assert text[6:11] == [f"Soup {i}\nCook {i}\nSalt\nFlour" for i in range(5)]
     assert text[46:58] == [f"{k} {i}\nSalt\nFlour" for k in ("Cake", "Pie") for i in range(6)]
     assert text[58:] == [f"News {i}" for i in range(6)]  # template still goes
+
+
+@pytest.mark.parametrize("tag", ["div", "font", "span", "blockquote"])
+def test_deep_pages(tag):
+    page = f"<p>top</p>{f'<{tag}>' * 10_000}<b>deep</b>"
+    for text in (page, f"<article>{page}", f"<main>{page}"):
+        root = html.parse(text)
+        got = html.main_text(*html.main_elements(root), {"none"}, html.subtree_hashes(root))
+        assert got == "top\ndeep"
+
+
+def test_deep_page_keeps_the_rest(spark):
+    pages = [(0, "http://h.example", "<div>" * 10_000 + "deep"), (1, "http://h.example", "<p>flat")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    assert [r["text"] for r in html.extract(df).orderBy("page_id").collect()] == ["deep", "flat"]
