@@ -10,7 +10,7 @@ count, nor any paragraph, quote or code, nor a container with half of the page's
 no such element and its copies differ in a paragraph, the smaller parts of a divided body can still count
 as template, if they stand on that share of the host. A host with few pages shows no template, so
 elements that say what they are by tag, role or class (nav, aside, footer, form, "ad", "comments" ...)
-go too.
+go too; in an article only a whole class or id says so, not a part of it, and math and labels are text.
 
 The main text is what remains of the page's outermost ``article`` elements, else of ``main``, else of
 the body. A block ends at every block-level tag and at ``br``.
@@ -66,6 +66,15 @@ DROP_WORDS = frozenset(
     " nav navbar navigation footer footers header headers masthead share sharing social related recommended newsletter"
     " subscribe subscription signup login popup modal overlay widget widgets pagination pager skip-link toolbar topbar"
     " copyright legal disclaimer tags breadcrumb-nav reply replies".split())
+#: Elements that are text in an article.
+ARTICLE_TAGS = frozenset("math label".split())
+#: Names that stand for themselves in an article, where a part of a name says nothing.
+DROP_NAMES = DROP_WORDS | frozenset(
+    "ad-box ad-container ad-slot ad-unit ad-wrapper google-ads sponsored-content cookie-banner cookie-notice comment-form"
+    " comment-list comments-area comments-section share-bar share-buttons share-links sharing-buttons social-icons"
+    " social-links social-media social-share related-articles related-links related-posts related-stories newsletter-box"
+    " newsletter-form newsletter-signup sidebar-left sidebar-right nav-bar nav-links nav-menu page-footer site-footer"
+    " site-header site-nav post-tags entry-tags tag-links post-navigation".split())
 #: Prose: never template. ``header`` inside an article holds its title, so it stays there.
 PROSE = frozenset("html body article main p h1 h2 h3 h4 h5 h6 hgroup pre blockquote figure figcaption dt dd br td th tr".split())
 #: Elements whose subtrees are counted.
@@ -161,7 +170,7 @@ def _attributes(node: Node) -> dict[str, str]:
 
 def dropped(node: Node, in_article: bool) -> bool:
     """Whether an element says that it is no main text."""
-    if node.tag in DROP_TAGS or (node.tag == "header" and not in_article):
+    if (node.tag in DROP_TAGS and not (in_article and node.tag in ARTICLE_TAGS)) or (node.tag == "header" and not in_article):
         return True
     if not node.attributes or node.tag in ("html", "body", "article", "main"):
         return False
@@ -171,9 +180,12 @@ def dropped(node: Node, in_article: bool) -> bool:
     if re.search(r"display\s*:\s*none", a.get("style", ""), re.I):
         return True
     names = f"{a.get('class', '')} {a.get('id', '')}".lower()
-    words = set(_WORD.findall(names.replace("_", "-")))
+    names = names.replace("_", "-")
+    words = set(names.split() if in_article else _WORD.findall(names))
     if node.tag == "header" or re.fullmatch(r"h[1-6]", node.tag):
         words -= {"header", "headers"}
+    if in_article:
+        return bool(words & DROP_NAMES)
     parts = words | {p for w in words for p in w.split("-")} if node.tag not in PROSE else words
     return bool(parts & DROP_WORDS)
 

@@ -431,3 +431,10 @@ def test_deep_page_keeps_the_rest(spark):
     pages = [(0, "http://h.example", "<div>" * 10_000 + "deep"), (1, "http://h.example", "<p>flat")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
     assert [r["text"] for r in html.extract(df).orderBy("page_id").collect()] == ["deep", "flat"]
+
+
+def test_article_keeps_what_names_only_resemble():
+    page = ("<article><section id=related-work><p>Work</section><div class=legal-opinion>Opinion</div><math><mi>x</mi></math>"
+            "<label>Name</label><div class='box related'>r</div><ul class=share-buttons><li>s</ul></article>")
+    root = html.parse(page)
+    assert html.main_text(*html.main_elements(root)) == "Work\nOpinion\nxName"
