@@ -41,20 +41,23 @@ class Encoder:
 
     Byte-pair merges in rank order give the same ids in any library. Where the file is a plain
     byte-level vocabulary whose ids follow its merges, the ranks go to the faster one; texts with a
-    very long unbroken run, which it takes square time for, and any other file go to ``tokenizers``.
+    very long unbroken run, which it takes square time for, texts that hold an added token such as
+    <|endoftext|>, which has an id of its own, and any other file go to ``tokenizers``.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.slow = Tokenizer.from_file(path)
-        self.slow.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
-            self.fast = _ranked(json.load(f))
+            spec = json.load(f)
+        self.fast = _ranked(spec)
+        added = [re.escape(x["content"]) for x in spec.get("added_tokens") or ()]
+        self.slow_text = re.compile("|".join([_LONG_RUN.pattern, *added]))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         out = [b""] * len(texts)
-        rest = [i for i, t in enumerate(texts) if t and (self.fast is None or _LONG_RUN.search(t))]
+        rest = [i for i, t in enumerate(texts) if t and (self.fast is None or self.slow_text.search(t))]
         for i, e in zip(rest, self.slow.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False),
                         strict=True):
             out[i] = np.array(e.ids, "<u4").tobytes()

@@ -438,3 +438,17 @@ def test_article_keeps_what_names_only_resemble():
             "<label>Name</label><div class='box related'>r</div><ul class=share-buttons><li>s</ul></article>")
     root = html.parse(page)
     assert html.main_text(*html.main_elements(root)) == "Work\nOpinion\nxName"
+
+
+def test_added_tokens_have_their_own_ids(spark):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(tokenizer_path())
+    texts = ["a<|endoftext|>b", "<|endoftext|>", "x <|endoftext|><|endoftext|> y", "a<|endoftext|", "a" * 600 + "<|endoftext|>"]
+    e = packing.Encoder(tokenizer_path())
+    ids = [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert ids[0] == [64, 50256, 65]
+    assert e.encode(texts) == [np.array(x, "<u4").tobytes() for x in ids]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["ids_crc32"] for r in packing.token_pieces(df, tokenizer_path()).collect()}
+    assert got == {i: zlib.crc32(np.array([*x, 2], "<u4").tobytes()) for i, x in enumerate(ids)}
