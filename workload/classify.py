@@ -102,10 +102,12 @@ def train_text_model(spark, sf):
 
 
 def predict_top2(spark, sf):
-    """The seed model over every undecided derived document and every prose document."""
+    """The seed model over every derived document that hint and rules left undecided, and every prose document."""
     model = TextModel.seed(spark)
     prose = table(spark, sf, "documents").select(F.concat(F.lit("doc_"), "doc_id").alias("id"), "text")
-    return model.score(spread(prose), "text").select("id", "tm_type", "tm_conf", "tm_second", "tm_second_conf")
+    undecided = classified(spark, sf).where(F.col("classification.method").isin("rules_only", "no_signal")).select(
+        F.col("record_id").alias("id"), F.col("full_text").alias("text"))
+    return model.score(spread(prose).unionByName(undecided), "text").select("id", "tm_type", "tm_conf", "tm_second", "tm_second_conf")
 
 
 def model_persist(spark, sf):

@@ -68,6 +68,11 @@ def source_union(spark, sf):
     return pay(spark, sf, "fax", "edi837", "webhook").select("record_id", "source_type", "source_id")
 
 
+def source_union_all(spark, sf):
+    """All five sources in one list (SR-6)."""
+    return pay(spark, sf).select("record_id", "source_type", "source_id")
+
+
 def bad_record_isolation(spark, sf):
     d = docs(spark, sf)
     return d.groupBy("source").agg(
@@ -193,7 +198,7 @@ DUCK_NORMAL = ("SELECT file, patient_name, patient_dob, patient_id, array_to_str
                "array_to_string(px, '|') AS procedure_codes, payer_id FROM docs WHERE source = '{s}' AND error IS NULL")
 
 QUERIES = {f.__name__: f for f in (
-    scan_fax, scan_hl7, scan_fhir, scan_edi, scan_webhook, source_union, bad_record_isolation,
+    scan_fax, scan_hl7, scan_fhir, scan_edi, scan_webhook, source_union, source_union_all, bad_record_isolation,
     normalize_hl7, normalize_fhir, normalize_edi, assemble_ocr, to_canonical, document_key,
     dedup_codes, validate, code_format_warnings, dlq_split, in_flight, data_quality_rollup)}
 
@@ -208,6 +213,7 @@ ORACLES = {
     "scan_webhook": S.query(S.PAYLOAD, """SELECT file, content_type, json_extract_string(raw, '$.headers."x-source-system"') AS system,
         md5(full_text) AS body_md5 FROM payload WHERE source = 'webhook'"""),
     "source_union": S.query(S.PAYLOAD, "SELECT concat(source, '/', file) AS record_id, source_type, source_id FROM payload WHERE source IN ('fax', 'edi837', 'webhook')"),
+    "source_union_all": S.query(S.PAYLOAD, "SELECT concat(source, '/', file) AS record_id, source_type, source_id FROM payload"),
     "bad_record_isolation": S.query(S.DOCS, """SELECT source, count(*) AS n_records, count(error) AS n_failed, coalesce(max(error), '') AS last_error
         FROM docs GROUP BY source"""),
     "normalize_hl7": S.query(S.DOCS, DUCK_NORMAL.format(s="hl7v2")),
