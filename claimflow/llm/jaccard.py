@@ -418,8 +418,8 @@ def verified(rows: DataFrame, pairs: DataFrame, hists: DataFrame) -> DataFrame:
 
 
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, ``n_shingles``, ``component_id``, ``links`` (verified links between
-    sets that the search kept; a document within a found class has no more of them looked for)."""
+    """One row per input row: id, ``n_shingles``, ``component_id``. Links within a found class are not all
+    looked for, as they cannot change it, so no number of links is given."""
     spark = df.sparkSession
     small_batches(spark)
     rows = df.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
@@ -484,18 +484,12 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     more = verified(rows, rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(mixed), hists)
     links = first.unionByName(more).unionByName(shared_ids)
     final = components(links)
-    degree = first.unionByName(more)
-    degree = degree.select("u").unionByName(degree.select(F.col("v").alias("u"))).groupBy(
-        F.col("u").alias("_u")).agg(F.count("*").alias("_links"))
-    label = stored(reps.select("set_key", "rep").join(final, F.col("rep") == F.col("node"), "left").join(
-        degree, F.col("rep") == F.col("_u"), "left").select(
-        F.col("set_key").alias("_k"), F.coalesce("component", "rep").alias("_c"), F.coalesce("_links", F.lit(0)).alias("_l")),
-        "labels")
+    label = stored(reps.select("set_key", "rep").join(final, F.col("rep") == F.col("node"), "left").select(
+        F.col("set_key").alias("_k"), F.coalesce("component", "rep").alias("_c")), "labels")
     out = signed.select("_id", "n", F.when(F.col("n") > 0, F.col("set_key")).alias("set_key")).join(
         label, F.col("set_key") == F.col("_k"), "left")
     return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"),
-                      F.when(F.col("_id").isNotNull(), F.coalesce("_c", "_id")).alias("component_id"),
-                      F.coalesce("_l", F.lit(0)).cast("long").alias("links"))
+                      F.when(F.col("_id").isNotNull(), F.coalesce("_c", "_id")).alias("component_id"))
 
 
 def _several(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -452,3 +452,7 @@ def test_added_tokens_have_their_own_ids(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: r["ids_crc32"] for r in packing.token_pieces(df, tokenizer_path()).collect()}
     assert got == {i: zlib.crc32(np.array([*x, 2], "<u4").tobytes()) for i, x in enumerate(ids)}
+
+
+def test_jaccard_gives_no_partial_number_of_links(docs):
+    assert jaccard.classes(docs).columns == ["doc_id", "n_shingles", "component_id"]
