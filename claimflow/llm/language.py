@@ -28,10 +28,9 @@ from claimflow.llm.quality import remainder
 
 BITS = 14
 GRAMS = (1, 2, 3)
-#: Bounds of the fit: labelled texts and landmarks a language, and languages.
+#: Bounds of the fit: labelled texts and landmarks a language. Every language is learnt.
 ROWS_PER_LANGUAGE = 600
 LANDMARKS_PER_LANGUAGE = 40
-MAX_LANGUAGES = 200
 RIDGE = 1e-2
 TEXTS = 64  # rows of a presence matrix
 CHARS = 1 << 20  # characters hashed at once; a longer text is hashed in several goes
@@ -149,7 +148,7 @@ def sample_ids(df: DataFrame, usable: Column, lang_col: str, id_col: str) -> Dat
 
 def train(df: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     small_batches(df.sparkSession)
-    picked = sample_ids(df, usable, lang_col, id_col).limit(ROWS_PER_LANGUAGE * MAX_LANGUAGES)
+    picked = sample_ids(df, usable, lang_col, id_col)
     rows = df.select(F.col(id_col).cast("long").alias("_doc"), F.col(text_col).alias("_text")).join(
         F.broadcast(picked), F.col("_doc") == F.col("_id")).select("_id", "_lang", "_n", "_text")
 

@@ -456,3 +456,9 @@ def test_added_tokens_have_their_own_ids(spark):
 
 def test_jaccard_gives_no_partial_number_of_links(docs):
     assert jaccard.classes(docs).columns == ["doc_id", "n_shingles", "component_id"]
+
+
+def test_every_language_is_learnt(spark, monkeypatch):
+    monkeypatch.setattr(language, "ROWS_PER_LANGUAGE", 1)
+    df = spark.createDataFrame([(i, f"text {i} of {i}", f"l{i}") for i in range(210)], "doc_id long, text string, lang string")
+    assert len(language.train(df, F.lit(True)).languages) == 210
