@@ -15,6 +15,7 @@ from .enrich import enrich, ocr_penalty, score_completeness
 from .extract import extract_builtin
 from .govern import redact_pii, route_model
 from .inference import call_model
+from .lookup import BROADCAST_ROWS
 from .meter import cost, price
 from .prompts import system_prompt, system_prompt_for, user_message
 from .reply import parse_reply
@@ -82,7 +83,7 @@ def _builtin(df: DataFrame, text: str, user: Column) -> DataFrame:
 def extract(df: DataFrame, call: Callable[[str, str], str] | None = None,
             registry: DataFrame | None = None, icd10: DataFrame | None = None,
             cpt: DataFrame | None = None, prefer_local: bool = False,
-            prompt_chars: int = MAX_PROMPT_CHARS) -> DataFrame:
+            prompt_chars: int = MAX_PROMPT_CHARS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """The whole phase on in-flight documents. Personal data is replaced before any model sees it."""
     df = route_model(redact_pii(df), prefer_local=prefer_local)
     df = df.withColumns({
@@ -90,10 +91,11 @@ def extract(df: DataFrame, call: Callable[[str, str], str] | None = None,
         "prompt_version": F.lit(PROMPT_VERSION),
     })
     df = batch_inference(df, call, prompt_chars=prompt_chars)
-    if call is not None and any(t is not None for t in (registry, icd10, cpt)):
+    asked = call is not None and any(t is not None for t in (registry, icd10, cpt))
+    if asked:
         # Lookups read the frame more than once; the model is asked once.
         df = written(df, "replies")
-    df = enrich(df, registry, icd10, cpt)
+    df = enrich(df, registry, icd10, cpt, is_table=asked, rows=broadcast_rows)
     df = score_completeness(ocr_penalty(df))
     r = F.col("reply_call")
     return df.withColumn("call", F.struct(

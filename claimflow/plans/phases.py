@@ -21,6 +21,7 @@ from ..operators.decide import dispatch
 from ..operators.evaluate import run_eval
 from ..operators.govern import fallback_chain, guardrail_flags
 from ..operators.infer import extract, result_json
+from ..operators.lookup import BROADCAST_ROWS
 from ..operators.meter import call_records
 from ..operators.normalize import normalize
 from ..operators.report import build_report
@@ -44,6 +45,8 @@ class Services:
     #: Characters of a document that a type prompt and an extraction prompt carry to a model.
     excerpt_chars: int = MODEL_EXCERPT
     prompt_chars: int = MAX_PROMPT_CHARS
+    #: A registry up to this many rows is broadcast, a larger one becomes a membership test.
+    broadcast_rows: int = BROADCAST_ROWS
 
 
 def ingest(raw: DataFrame, run_ts: Column | None = None) -> DataFrame:
@@ -84,7 +87,7 @@ def classification(df: DataFrame, s: Services) -> DataFrame:
 
 def extraction(df: DataFrame, s: Services) -> DataFrame:
     return only_open(df, lambda d: extract(
-        d, s.call, s.registry, s.icd10, s.cpt, s.prefer_local, s.prompt_chars),
+        d, s.call, s.registry, s.icd10, s.cpt, s.prefer_local, s.prompt_chars, s.broadcast_rows),
                      "extraction", [])
 
 

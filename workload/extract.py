@@ -17,10 +17,18 @@ from claimflow.plans.phases import Services, extraction
 from claimflow.sources.landing import spread
 
 from . import sql as S
-from .corpus import table
+from .corpus import DX, PX, pick, table
 from .stages import classified, extracted
 
 
+CODE_TABLES = {
+    "icd10": f"""SELECT upper({pick(DX, 'o_orderkey')}) AS code FROM orders WHERE o_orderkey % 13 NOT IN (2, 5, 8)
+        UNION ALL SELECT concat('Z', cast(o_orderkey AS string)) FROM orders UNION ALL SELECT cast(NULL AS string)""",
+    "cpt": f"""SELECT {pick(PX, 'o_orderkey')} AS code FROM orders WHERE o_orderkey % 12 NOT IN (1, 7, 11)
+        UNION ALL SELECT concat('8', cast(o_orderkey AS string)) FROM orders""",
+}
+
+
 def prose(spark, sf):
     return spread(table(spark, sf, "documents").select("doc_id", "text"))
 
@@ -152,6 +160,32 @@ def enrich_codes_table(spark, sf):
     return lost.select("document_id", F.array_join(F.sort_array("unknown"), "|").alias("unknown"))
 
 
+def registry_rows(spark, sf):
+    """Line items' suppliers and two of three customers as a registry with repeats; far above the bound given with it."""
+    customers = table(spark, sf, "orders").where(F.col("o_custkey") % 3 != 0).select(
+        F.concat(F.lit("1"), F.lpad(F.col("o_custkey").cast("string"), 9, "0")).alias("npi"))
+    others = table(spark, sf, "lineitem").select(F.concat(F.lit("2"), F.lpad(F.col("l_orderkey").cast("string"), 9, "0")).alias("npi"))
+    return customers.unionByName(others)
+
+
+def enrich_npi_registry(spark, sf):
+    """The phase with a registry beyond the broadcast bound: a membership test, no record is shuffled."""
+    return live(spark, sf, registry=registry_rows(spark, sf), broadcast_rows=100).select(
+        "file", "npi_validated", F.array_join("extraction_warnings", "|").alias("warnings"))
+
+
+def code_tables(spark, sf):
+    """Code systems as large as ``orders``: some of the documents' codes and one more per order."""
+    table(spark, sf, "orders").select("o_orderkey").createOrReplaceTempView("code_orders")
+    return {name: spark.sql(text.replace("FROM orders", "FROM code_orders")) for name, text in CODE_TABLES.items()}
+
+
+def enrich_codes_full(spark, sf):
+    """The phase with code systems above the size of a literal set; extraction runs once."""
+    return live(spark, sf, **code_tables(spark, sf)).select(
+        "file", "codes_validated", F.array_join("extraction_warnings", "|").alias("warnings"))
+
+
 def ocr_penalty(spark, sf):
     df = done(spark, sf).where(F.col("ocr_mean_confidence").isNotNull())
     low = F.array_min(F.transform("fields", lambda f: f["confidence"]))
@@ -203,11 +237,12 @@ def call_metering(spark, sf):
 QUERIES = {f.__name__.rstrip("_"): f for f in (
     redact_pii, model_route, prompt_latest, build_prompt, extract_json, extract_hl7, extract_edi,
     extract_text, extract_dispatch, extract_prose, batch_inference_, parse_reply_, enrich_npi, enrich_codes,
-    enrich_codes_table, ocr_penalty, completeness, needs_review, token_costs, model_calls, call_metering)}
+    enrich_npi_registry, enrich_codes_full, enrich_codes_table, ocr_penalty, completeness, needs_review, token_costs, model_calls, call_metering)}
 
 FIELD_ROWS = "SELECT file, q.n AS field_name, q.v AS value, q.c AS confidence FROM (SELECT file, source, unnest(f) AS q FROM extracted WHERE closed2 IS NULL) WHERE source IN ({s})"
 PROMPT_CASE = "CASE doc_id % 5 " + " ".join(
     f"WHEN {i} THEN md5('{pr.system_prompt(k)}')" for i, k in enumerate(("denial_eob", "prior_auth", "referral", "claim_837"))) + f" ELSE md5('{pr.system_prompt('eligibility')}') END"
+NPI_TEN = "coalesce(regexp_matches(extracted.npi, '^\\d{10}$'), false)"
 NPI_OK = "regexp_matches(npi, '^1\\d{9}$')"
 PRICE = "CASE model " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in fx.PRICES.items()) + " ELSE 0.003::DOUBLE END"
 
@@ -240,6 +275,20 @@ ORACLES = {
         FROM extracted WHERE closed2 IS NULL"""),
     "enrich_codes": S.query(S.EXTRACTED, """SELECT file, npi_ok AS npi_validated, len(bad_dx) + len(bad_px) = 0 AS codes_validated,
         array_to_string(warnings, '|') AS warnings FROM extracted WHERE closed2 IS NULL"""),
+    "enrich_npi_registry": S.query(S.EXTRACTED, f"""SELECT file, coalesce({NPI_TEN} AND known.npi IS NOT NULL, false) AS npi_validated,
+        array_to_string(list_concat(CASE WHEN {NPI_TEN} AND known.npi IS NULL THEN [concat('NPI not found in registry: ', extracted.npi)] ELSE [] END,
+          list_filter(warnings, lambda w: NOT starts_with(w, 'NPI not'))), '|') AS warnings
+        FROM extracted LEFT JOIN (
+          SELECT concat('1', lpad(cast(o_custkey AS string), 9, '0')) AS npi FROM orders WHERE o_custkey % 3 <> 0
+          UNION SELECT concat('2', lpad(cast(l_orderkey AS string), 9, '0')) FROM lineitem) known USING (npi) WHERE closed2 IS NULL"""),
+    "enrich_codes_full": S.query(S.EXTRACTED + f""", icd AS ({CODE_TABLES['icd10']}), cpt AS ({CODE_TABLES['cpt']}),
+        lost_dx AS (SELECT coalesce(list(DISTINCT c), []) AS lost FROM (SELECT upper(unnest(v_diagnosis_codes)) AS c FROM extracted) WHERE c NOT IN (SELECT code FROM icd WHERE code IS NOT NULL)),
+        lost_px AS (SELECT coalesce(list(DISTINCT c), []) AS lost FROM (SELECT unnest(v_procedure_codes) AS c FROM extracted) WHERE c NOT IN (SELECT code FROM cpt)),
+        tested AS (SELECT *, CASE WHEN broken THEN [] ELSE list_filter(v_diagnosis_codes, lambda c: list_contains(lost_dx.lost, upper(c))) END AS no_dx,
+          CASE WHEN broken THEN [] ELSE list_filter(v_procedure_codes, lambda c: list_contains(lost_px.lost, c)) END AS no_px
+          FROM extracted, lost_dx, lost_px WHERE closed2 IS NULL)""", """SELECT file, len(no_dx) + len(no_px) = 0 AS codes_validated,
+        array_to_string(list_concat(list_filter(warnings, lambda w: NOT (starts_with(w, 'ICD-10 not') OR starts_with(w, 'CPT not'))),
+          list_transform(no_dx, lambda c: concat('ICD-10 not in reference table: ', c)), list_transform(no_px, lambda c: concat('CPT not in reference table: ', c))), '|') AS warnings FROM tested"""),
     "enrich_codes_table": """SELECT document_id, array_to_string(list(code ORDER BY code), '|') AS unknown FROM (
         SELECT DISTINCT l_orderkey::VARCHAR AS document_id, l_partkey::VARCHAR AS code FROM lineitem
         WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 10)) GROUP BY document_id""",
