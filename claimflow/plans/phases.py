@@ -28,6 +28,7 @@ from ..operators.report import build_report
 from ..operators.validate import validate
 from ..schemas import PHASES
 from ..sources.landing import source_union
+from .observed import WHOLE, RunMeter
 
 
 @dataclass
@@ -133,17 +134,25 @@ def run_batch(spark: SparkSession, raw: DataFrame, out: str, run_id: str,
 
     Returns the one-row report, or None when the run stops before it. The records table is the
     point a lost executor falls back to: reports and result tables read it and never recompute
-    the phases.
+    the phases. Means, calls and times come from figures taken during the writes; times are per phase
+    with ``phase_files`` and for the whole run without. ``timings`` takes their place where given.
     """
+    meter = RunMeter()
+
     def on_phase(name: str, df: DataFrame) -> DataFrame:
+        df = meter.watched(name, df)
         if not phase_files:
             return df
-        path = sinks.write_phase(df, f"{out}/phases/run_id={run_id}", PHASES.index(name) + 1, name)
-        return spark.read.parquet(path)
+        folder = f"{out}/phases/run_id={run_id}"
+        meter.timed(name, lambda: sinks.write_phase(df, folder, PHASES.index(name) + 1, name))
+        return spark.read.parquet(sinks.phase_path(folder, PHASES.index(name) + 1, name))
 
     records = run_phases(raw, services, until, run_ts, on_phase)
     path = f"{out}/records/run_id={run_id}"
-    records.write.mode("overwrite").parquet(path)
+    meter.timed(WHOLE, lambda: records.write.mode("overwrite").parquet(path))
+    if phase_files:
+        meter.rows.pop(WHOLE)  # only a copy of the last phase's table
+    sinks.write_stages(meter.table(spark), f"{out}/run_id={run_id}")
     records = spark.read.parquet(path)
     if PHASES.index(until) < PHASES.index("agents"):
         return None
@@ -151,7 +160,8 @@ def run_batch(spark: SparkSession, raw: DataFrame, out: str, run_id: str,
     if until != "observability":
         return None
     evaluation = run_eval(gold, model=(services or Services()).model) if gold is not None else None
-    report = build_report(records, call_records(records), timings, evaluation)
+    report = build_report(records, call_records(records), timings if timings is not None else meter.timings(spark),
+                          evaluation, meter.means(spark))
     sinks.write_report(report, f"{out}/run_id={run_id}")
     return spark.read.json(f"{out}/run_id={run_id}/report")
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from claimflow.operators import classify as cl
 from claimflow.operators.rules import apply_rules, top_two
+from claimflow.operators.ruletable import apply_rule_table, load_catalogue
 from claimflow.operators.textmodel import TextModel
 from claimflow.session import scratch
 from claimflow.sources.landing import spread
@@ -39,6 +40,23 @@ def rule_scores_prose(spark, sf):
     return apply_rules(docs).select("doc_id", F.size("signals").cast("bigint").alias("n_signals"))
 
 
+RULE_TABLE = """SELECT p_brand AS document_type, CASE p_partkey % 3 WHEN 0 THEN concat(chr(92), 'bclm', cast(p_partkey AS string), chr(92), 'b')
+    WHEN 1 THEN concat('mrn-', cast(p_partkey AS string), chr(92), 'b') ELSE concat('claim.*clm', cast(p_partkey AS string)) END AS pattern,
+    CASE p_partkey % 3 WHEN 1 THEN concat('mrn-', cast(p_partkey AS string)) ELSE concat('clm', cast(p_partkey AS string)) END AS word,
+    0.9 AS base, p_partkey AS ord FROM part"""
+
+
+def rule_table(spark, sf):
+    """A rule for every part, grouped by brand, over every valid document in one pass of an automaton."""
+    table(spark, sf, "part").select("p_partkey", "p_brand").createOrReplaceTempView("rule_parts")
+    catalogue = load_catalogue(spark.sql(RULE_TABLE.replace("FROM part", "FROM rule_parts")))
+    docs = ingested(spark, sf).where(F.col("disposition").isNull()).select("file", "full_text")
+    s = F.col("s")
+    return apply_rule_table(docs, catalogue).select("file", F.explode("signals").alias("s")).select(
+        "file", s["document_type"].alias("document_type"), F.round(s["confidence"], 3).alias("confidence"),
+        s["matched_rule"].alias("matched_rule"))
+
+
 def rank_signals(spark, sf):
     names = F.transform("signals", lambda s: F.concat_ws(":", s["document_type"], F.format_string("%.4f", s["confidence"])))
     return scored(spark, sf).select("file", F.array_join(names, "|").alias("ranked"))
@@ -130,7 +148,7 @@ def model_call_tier(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    source_hint, rule_scores, rule_scores_prose, rank_signals, top2, cascade, routing_join,
+    source_hint, rule_scores, rule_scores_prose, rule_table, rank_signals, top2, cascade, routing_join,
     classification_close_out, documents_by_type, type_reply, train_text_model, predict_top2,
     model_persist, model_call_tier)}
 
@@ -148,6 +166,11 @@ SELECT k AS o_orderkey, CASE WHEN t IN ('referral', 'prior_auth', 'claim_837') T
 ORACLES = {
     "source_hint": S.query(S.VALID, f"SELECT file, {S.HINT} AS declared_type FROM valid WHERE closed IS NULL"),
     "rule_scores": S.query(SCORED, "SELECT file, s.type AS document_type, -s.neg AS confidence, s.rule AS matched_rule FROM (SELECT file, unnest(sig) AS s FROM scored)"),
+    "rule_table": S.query(f"{S.VALID}, rules AS MATERIALIZED ({RULE_TABLE}), sizes AS (SELECT document_type, count(*) AS n, min(ord) AS first FROM rules GROUP BY ALL)",
+        """, texts AS MATERIALIZED (SELECT file, lower(full_text) AS t FROM valid WHERE closed IS NULL),
+        hits AS (SELECT file, document_type, pattern, ord FROM texts JOIN rules ON contains(t, word) AND regexp_matches(t, pattern, 's')),
+        found AS (SELECT file, document_type, count(*) AS h, arg_min(pattern, ord) AS matched_rule FROM hits GROUP BY ALL)
+        SELECT file, document_type, round(least(0.99, 0.9 * (0.7 + 0.3 * least(1.0, h / n * 4))), 3) AS confidence, matched_rule FROM found JOIN sizes USING (document_type)""").replace(" , texts", ", texts", 1),
     "rule_scores_prose": f"SELECT doc_id, len({S.signals('lower(text)')}) AS n_signals FROM documents",
     "rank_signals": S.query(SCORED, "SELECT file, array_to_string(list_transform(sig, lambda s: concat(s.type, ':', printf('%.4f', -s.neg))), '|') AS ranked FROM scored"),
     "top2": S.query(SCORED, """SELECT file, sig[1].type AS top_type, -sig[1].neg AS top_confidence, sig[1].rule AS matched_rule,
