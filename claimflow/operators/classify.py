@@ -19,6 +19,7 @@ from ..functions.fence import settle
 from ..functions.jsontext import is_object, outer_object, without_fences
 from ..functions.text import lines, round_half_even, strip
 from ..schemas import DOCUMENT_TYPES
+from .inference import CallLimits, call_model
 from .rules import Catalogue, apply_rules
 
 UNKNOWN_ERROR = "classification: no confident document type — sent to human review"
@@ -80,18 +81,17 @@ def read_type_reply(reply: Column) -> dict[str, Column]:
 
 
 def model_tier(df: DataFrame, call: Callable[[str, str], str], text: str = "full_text",
-               only: Column | None = None, excerpt_chars: int = MODEL_EXCERPT) -> DataFrame:
+               only: Column | None = None, excerpt_chars: int = MODEL_EXCERPT,
+               limits: CallLimits = CallLimits()) -> DataFrame:
     """Add ``reply_type``, ``reply_confidence`` and ``reply_reasoning`` from ``call(system, user)``.
 
     The prompt carries the first ``excerpt_chars`` characters.
     """
-    from .inference import call_model
-
     excerpt = strip(F.left(F.col(text), F.lit(excerpt_chars)))
     user = F.concat(F.lit("DOCUMENT:\n"), excerpt)
     if only is not None:
         user = F.when(only, user)
-    called = df.withColumn("_call", call_model(call)(F.lit(CLASSIFY_SYSTEM), user))
+    called = df.withColumn("_call", call_model(call, limits)(F.lit(CLASSIFY_SYSTEM), user))
     cols = read_type_reply(F.col("_call.reply"))
     failed = F.col("_call.error").isNotNull()
     return called.withColumns({
@@ -104,7 +104,7 @@ def model_tier(df: DataFrame, call: Callable[[str, str], str], text: str = "full
 
 def cascade(df: DataFrame, model=None, call: Callable[[str, str], str] | None = None,
             catalogue: Catalogue = RULES, use_hint: bool = True,
-            excerpt_chars: int = MODEL_EXCERPT) -> DataFrame:
+            excerpt_chars: int = MODEL_EXCERPT, limits: CallLimits = CallLimits()) -> DataFrame:
     """Add ``classification`` (type, confidence, runner-up, method, queue).
 
     ``model`` is a fitted ``TextModel``; ``call`` a model function. Both are optional.
@@ -128,7 +128,7 @@ def cascade(df: DataFrame, model=None, call: Callable[[str, str], str] | None =
         by_model = (F.col("_tm_conf") >= TEXT_MODEL_THRESHOLD) & (F.col("_tm_type") != "unknown") & agrees
         by_model = undecided & F.coalesce(by_model, F.lit(False))
     if call is not None:
-        df = model_tier(df, call, only=undecided & ~by_model, excerpt_chars=excerpt_chars)
+        df = model_tier(df, call, only=undecided & ~by_model, excerpt_chars=excerpt_chars, limits=limits)
         extra += ["reply_type", "reply_confidence", "reply_reasoning"]
 
     def result(kind, conf, method, second_kind=None, second_conf=None) -> Column:

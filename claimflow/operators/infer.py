@@ -14,7 +14,7 @@ from ..session import written
 from .enrich import enrich, ocr_penalty, score_completeness
 from .extract import extract_builtin
 from .govern import redact_pii, route_model
-from .inference import call_model
+from .inference import CallLimits, call_model
 from .lookup import BROADCAST_ROWS
 from .meter import cost, price
 from .prompts import system_prompt, system_prompt_for, user_message
@@ -22,8 +22,9 @@ from .reply import parse_reply
 
 
 def batch_inference(df: DataFrame, call: Callable[[str, str], str] | None = None,
-                    text: str = "safe_text", prompt_chars: int = MAX_PROMPT_CHARS) -> DataFrame:
-    """Add the extraction columns and ``reply_call`` (tokens, latency, success, error).
+                    text: str = "safe_text", prompt_chars: int = MAX_PROMPT_CHARS,
+                    limits: CallLimits = CallLimits()) -> DataFrame:
+    """Add the extraction columns and ``reply_call`` (tokens, latency, success, error, attempts).
 
     A prompt carries the first ``prompt_chars`` characters. Without ``call`` the built-in extractor
     answers, which reads the whole text; its token counts are those of the prompt a model would get.
@@ -34,7 +35,7 @@ def batch_inference(df: DataFrame, call: Callable[[str, str], str] | None = None
     system = system_prompt_for(F.col("document_type"))
     # The call runs once per row: its struct is a column of its own before anything reads it.
     df = df.withColumns({"_system": system, "_user": user})
-    df = df.withColumn("_call", call_model(call)(F.col("_system"), F.col("_user")))
+    df = df.withColumn("_call", call_model(call, limits)(F.col("_system"), F.col("_user")))
     failed = F.col("_call.error").isNotNull()
     df = parse_reply(df.withColumn("_reply", F.when(~failed, F.col("_call.reply")).otherwise("{}")), "_reply")
     zero = F.lit(0).cast("bigint")
@@ -48,7 +49,7 @@ def batch_inference(df: DataFrame, call: Callable[[str, str], str] | None = None
                 tokens(word_count(F.concat("_system", "_user")))).alias("input_tokens"),
             F.when(failed, zero).otherwise(tokens(word_count(F.col("_reply")))).alias("output_tokens"),
             F.col("_call.latency_ms").alias("latency_ms"), F.col("_call.success").alias("success"),
-            F.col("_call.error").alias("error")),
+            F.col("_call.error").alias("error"), F.col("_call.attempts").alias("attempts")),
     }).drop("_system", "_user", "_call", "_reply")
 
 
@@ -73,7 +74,9 @@ def _builtin(df: DataFrame, text: str, user: Column) -> DataFrame:
             F.when(failed, zero).otherwise(tokens(words)).alias("input_tokens"),
             F.when(failed, zero).otherwise(tokens(F.col("reply_words"))).alias("output_tokens"),
             F.lit(0.0).alias("latency_ms"), (~failed).alias("success"),
-            F.col("extraction_error").alias("error")),
+            F.col("extraction_error").alias("error"),
+            F.array(F.struct(F.lit(0).alias("attempt"), F.lit(0.0).alias("latency_ms"), (~failed).alias("success"),
+                             F.col("extraction_error").alias("error"))).alias("attempts")),
     }).withColumns({
         "mean_confidence": round_half_even(fl.mean_confidence(F.col("fields")), 4),
         "low_conf_fields": fl.low_names(F.col("fields"), LOW_FIELD),
@@ -83,14 +86,15 @@ def _builtin(df: DataFrame, text: str, user: Column) -> DataFrame:
 def extract(df: DataFrame, call: Callable[[str, str], str] | None = None,
             registry: DataFrame | None = None, icd10: DataFrame | None = None,
             cpt: DataFrame | None = None, prefer_local: bool = False,
-            prompt_chars: int = MAX_PROMPT_CHARS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+            prompt_chars: int = MAX_PROMPT_CHARS, broadcast_rows: int = BROADCAST_ROWS,
+            limits: CallLimits = CallLimits()) -> DataFrame:
     """The whole phase on in-flight documents. Personal data is replaced before any model sees it."""
     df = route_model(redact_pii(df), prefer_local=prefer_local)
     df = df.withColumns({
         "prompt_name": F.concat(F.lit("extraction-"), "document_type"),
         "prompt_version": F.lit(PROMPT_VERSION),
     })
-    df = batch_inference(df, call, prompt_chars=prompt_chars)
+    df = batch_inference(df, call, prompt_chars=prompt_chars, limits=limits)
     asked = call is not None and any(t is not None for t in (registry, icd10, cpt))
     if asked:
         # Lookups read the frame more than once; the model is asked once.
@@ -103,7 +107,7 @@ def extract(df: DataFrame, call: Callable[[str, str], str] | None = None,
         r["input_tokens"].alias("input_tokens"), r["output_tokens"].alias("output_tokens"),
         r["latency_ms"].alias("latency_ms"),
         cost(r["input_tokens"], r["output_tokens"], price(F.col("model"))).alias("cost_usd"),
-        r["success"].alias("success"), r["error"].alias("error"),
+        r["success"].alias("success"), r["error"].alias("error"), r["attempts"].alias("attempts"),
     )).drop("reply_call", "extraction_error", "safe_text", "max_tokens", "cost_per_1k",
             "prompt_name", "prompt_version")
 

@@ -41,17 +41,23 @@ def token_cost(df: DataFrame, system: str, user: str, reply: str, model: str = "
 
 
 def call_records(df: DataFrame, called_at: Column | None = None) -> DataFrame:
-    """One row per model call out of the ``call`` struct of extracted documents."""
-    c = F.col("call")
+    """One row per attempt of a model call out of the ``call`` struct of extracted documents.
+
+    Tokens and cost belong to the attempt that was answered.
+    """
+    c, a = F.col("call"), F.col("_attempt")
     when = called_at if called_at is not None else F.col("ingested_at")
-    return df.where(c.isNotNull()).select(
-        F.sha2(F.concat_ws("\u001f", "record_id", "document_id", c["prompt_name"], c["model"]), 256)
+    zero = F.lit(0).cast("bigint")
+    rows = df.where(c.isNotNull()).select("record_id", "document_id", "call", when.alias("called_at"),
+                                          F.explode("call.attempts").alias("_attempt"))
+    return rows.select(
+        F.sha2(F.concat_ws("\u001f", "record_id", "document_id", c["prompt_name"], c["model"], a["attempt"].cast("string")), 256)
         .alias("call_id"),
         "document_id", c["model"].alias("model"), c["prompt_name"].alias("prompt_name"),
-        c["prompt_version"].alias("prompt_version"), c["input_tokens"].alias("input_tokens"),
-        c["output_tokens"].alias("output_tokens"), c["latency_ms"].alias("latency_ms"),
-        c["cost_usd"].alias("cost_usd"), c["success"].alias("success"), c["error"].alias("error"),
-        when.alias("called_at"),
+        c["prompt_version"].alias("prompt_version"), F.when(a["success"], c["input_tokens"]).otherwise(zero).alias("input_tokens"),
+        F.when(a["success"], c["output_tokens"]).otherwise(zero).alias("output_tokens"), a["latency_ms"].alias("latency_ms"),
+        F.when(a["success"], c["cost_usd"]).otherwise(F.lit(0.0)).alias("cost_usd"), a["success"].alias("success"),
+        a["error"].alias("error"), "called_at",
     )
 
 

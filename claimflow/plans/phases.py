@@ -21,6 +21,7 @@ from ..operators.decide import dispatch
 from ..operators.evaluate import run_eval
 from ..operators.govern import fallback_chain, guardrail_flags
 from ..operators.infer import extract, result_json
+from ..operators.inference import CallLimits
 from ..operators.lookup import BROADCAST_ROWS
 from ..operators.meter import call_records
 from ..operators.normalize import normalize
@@ -48,6 +49,8 @@ class Services:
     prompt_chars: int = MAX_PROMPT_CHARS
     #: A registry up to this many rows is broadcast, a larger one becomes a membership test.
     broadcast_rows: int = BROADCAST_ROWS
+    #: Calls at once, time a call may take and attempts, for both kinds of model calls.
+    limits: CallLimits = CallLimits()
 
 
 def ingest(raw: DataFrame, run_ts: Column | None = None) -> DataFrame:
@@ -82,13 +85,13 @@ def only_open(df: DataFrame, phase: Callable[[DataFrame], DataFrame], name: str,
 
 
 def classification(df: DataFrame, s: Services) -> DataFrame:
-    return only_open(df, lambda d: close_out(cascade(d, s.model, s.classify_call, excerpt_chars=s.excerpt_chars)),
+    return only_open(df, lambda d: close_out(cascade(d, s.model, s.classify_call, excerpt_chars=s.excerpt_chars, limits=s.limits)),
                      "classification", ["document_type", "errors", "disposition"])
 
 
 def extraction(df: DataFrame, s: Services) -> DataFrame:
     return only_open(df, lambda d: extract(
-        d, s.call, s.registry, s.icd10, s.cpt, s.prefer_local, s.prompt_chars, s.broadcast_rows),
+        d, s.call, s.registry, s.icd10, s.cpt, s.prefer_local, s.prompt_chars, s.broadcast_rows, s.limits),
                      "extraction", [])
 
 

@@ -11,6 +11,7 @@ from claimflow.operators import govern as gv
 from claimflow.operators import prompts as pr
 from claimflow.operators.extract import extract_builtin
 from claimflow.operators.infer import batch_inference
+from claimflow.operators.inference import CallLimits
 from claimflow.operators.meter import call_records, call_summary, token_cost
 from claimflow.operators.reply import parse_reply
 from claimflow.plans.phases import Services, extraction
@@ -225,6 +226,28 @@ def batch_inference_(spark, sf):
         F.col("reply_call.success").alias("success"), F.col("reply_call.input_tokens").alias("input_tokens"))
 
 
+def call_attempts(spark, sf):
+    """Calls that overlap, fail by the prompt's length and are repeated: a record for every attempt."""
+    tried = {}
+
+    def answer(system, user):
+        import threading
+
+        lane, needed = threading.get_ident(), len(user) % 5
+        tried[lane] = tried.get(lane, 0) + 1
+        if tried[lane] <= needed:
+            tried[lane] %= 3  # the third attempt is the last
+            raise RuntimeError(f"busy {needed}")
+        tried[lane] = 0
+        return "{}"
+
+    docs = prose(spark, sf).withColumnRenamed("text", "safe_text").withColumn("document_type", F.lit("referral"))
+    made = batch_inference(docs, answer, limits=CallLimits(lanes=8, retries=2, wait_s=0.0))
+    a = F.col("a")
+    return made.select("doc_id", F.explode("reply_call.attempts").alias("a")).select(
+        "doc_id", a["attempt"].cast("bigint").alias("attempt"), a["success"].alias("success"), a["error"].alias("error"))
+
+
 def model_calls(spark, sf):
     return call_records(extracted(spark, sf)).select(
         "document_id", "model", "prompt_name", "input_tokens", "cost_usd", "success")
@@ -237,7 +260,7 @@ def call_metering(spark, sf):
 QUERIES = {f.__name__.rstrip("_"): f for f in (
     redact_pii, model_route, prompt_latest, build_prompt, extract_json, extract_hl7, extract_edi,
     extract_text, extract_dispatch, extract_prose, batch_inference_, parse_reply_, enrich_npi, enrich_codes,
-    enrich_npi_registry, enrich_codes_full, enrich_codes_table, ocr_penalty, completeness, needs_review, token_costs, model_calls, call_metering)}
+    enrich_npi_registry, enrich_codes_full, enrich_codes_table, ocr_penalty, completeness, needs_review, token_costs, call_attempts, model_calls, call_metering)}
 
 FIELD_ROWS = "SELECT file, q.n AS field_name, q.v AS value, q.c AS confidence FROM (SELECT file, source, unnest(f) AS q FROM extracted WHERE closed2 IS NULL) WHERE source IN ({s})"
 PROMPT_CASE = "CASE doc_id % 5 " + " ".join(
@@ -296,6 +319,9 @@ ORACLES = {
         list_min(list_transform(f, lambda q: q.c)) AS lowest FROM extracted WHERE closed2 IS NULL AND ocr IS NOT NULL"""),
     "completeness": S.query(S.EXTRACTED, "SELECT file, complete AS completeness FROM extracted WHERE closed2 IS NULL"),
     "needs_review": S.query(S.EXTRACTED, "SELECT file, mean_conf < 0.55 AS needs_review FROM extracted WHERE closed2 IS NULL"),
+    "call_attempts": """WITH m AS (SELECT doc_id, (len(text[:6000]) + 10 + CASE WHEN len(text) > 6000 THEN len('[truncated to 6000 chars]') + 2 ELSE 0 END) % 5 AS needed FROM documents WHERE text IS NOT NULL),
+        t AS (SELECT doc_id, needed, unnest(range(least(needed, 2) + 1)) AS attempt FROM m)
+        SELECT doc_id, attempt, attempt >= needed AS success, CASE WHEN attempt < needed THEN concat('busy ', needed) END AS error FROM t""",
     "token_costs": f"""WITH c AS (SELECT a.conv_id, a.turn, a.text AS u, b.text AS r,
           ['gpt-4o', 'claude-haiku-4-5-20251001', 'mistral', 'other'][1 + a.conv_id % 4] AS model
         FROM (SELECT * FROM conversations WHERE role = 'user') a LEFT JOIN (SELECT * FROM conversations WHERE role = 'assistant') b
