@@ -168,9 +168,11 @@ ORACLES = {
     "rule_scores": S.query(SCORED, "SELECT file, s.type AS document_type, -s.neg AS confidence, s.rule AS matched_rule FROM (SELECT file, unnest(sig) AS s FROM scored)"),
     "rule_table": S.query(f"{S.VALID}, rules AS MATERIALIZED ({RULE_TABLE}), sizes AS (SELECT document_type, count(*) AS n, min(ord) AS first FROM rules GROUP BY ALL)",
         """, texts AS MATERIALIZED (SELECT file, lower(full_text) AS t FROM valid WHERE closed IS NULL),
-        hits AS (SELECT file, document_type, pattern, ord FROM texts JOIN rules ON contains(t, word) AND regexp_matches(t, pattern, 's')),
+        tokens AS (SELECT DISTINCT file, token FROM (SELECT file, unnest(regexp_extract_all(t, '(?:clm|mrn-)[0-9]+')) AS token FROM texts)),
+        heads AS (SELECT DISTINCT file, left(token, unnest(range(4, len(token) + 1))::INT) AS word FROM tokens),
+        hits AS (SELECT file, document_type, pattern, ord FROM heads JOIN rules USING (word) JOIN texts USING (file) WHERE regexp_matches(t, pattern, 's')),
         found AS (SELECT file, document_type, count(*) AS h, arg_min(pattern, ord) AS matched_rule FROM hits GROUP BY ALL)
-        SELECT file, document_type, round(least(0.99, 0.9 * (0.7 + 0.3 * least(1.0, h / n * 4))), 3) AS confidence, matched_rule FROM found JOIN sizes USING (document_type)""").replace(" , texts", ", texts", 1),
+        SELECT file, document_type, round(least(0.99, 0.9 * (0.7 + 0.3 * least(1.0, h / n * 4))), 3) AS confidence, matched_rule FROM found JOIN sizes USING (document_type)"""),
     "rule_scores_prose": f"SELECT doc_id, len({S.signals('lower(text)')}) AS n_signals FROM documents",
     "rank_signals": S.query(SCORED, "SELECT file, array_to_string(list_transform(sig, lambda s: concat(s.type, ':', printf('%.4f', -s.neg))), '|') AS ranked FROM scored"),
     "top2": S.query(SCORED, """SELECT file, sig[1].type AS top_type, -sig[1].neg AS top_confidence, sig[1].rule AS matched_rule,
