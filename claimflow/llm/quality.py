@@ -129,9 +129,11 @@ class Model:
 
 def training_rows(df: DataFrame, labels: DataFrame, usable: Column, max_rows: int, id_col: str,
                   text_col: str, label_col: str) -> DataFrame:
-    """``shard, label, features`` of at most ``max_rows`` labelled rows."""
+    """``shard, label, features`` of at most ``max_rows`` labelled ids, drawn from those that can train."""
     own = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(
         F.col(id_col).cast("long").alias("_id")).agg(F.max(label_col).cast("int").alias("_label"))
+    present = df.where(usable & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("_present"))
+    own = own.join(present, F.col("_id") == F.col("_present"), "left_semi")
     picked = own.orderBy(F.xxhash64("_id"), "_id").limit(max_rows)  # at most max_rows, so it may be broadcast
     rows = df.where(usable).select(F.col(id_col).cast("long").alias("_doc"), F.col(text_col).alias("_text"))
     rows = rows.join(F.broadcast(picked), F.col("_doc") == F.col("_id")).select(
