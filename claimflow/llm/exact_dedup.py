@@ -257,10 +257,10 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, with all their columns: one for each text."""
-    keyed = df.select("*", digest_hex(text_col).alias("_key"))
-    known = stored(_known(keyed.select(F.col(id_col), "_key"), id_col, "_key"), "digest-index")
-    both = keyed.join(known, F.col("_key") == F.col("_hex")).where(
-        F.col(id_col).cast("long").eqNullSafe(F.col("_top")))
-    single = both.where("_tops = 1").select(*df.columns)
-    tied = both.where("_tops > 1").dropDuplicates(["_key"]).select(*df.columns)
-    return single.unionByName(tied)
+    # The row travels as one column, so no name of its own can clash with the columns added here.
+    keyed = df.select(F.struct(*df.columns).alias("_row"), F.col(id_col).cast("long").alias("_id"), digest_hex(text_col).alias("_key"))
+    known = stored(_known(keyed.select("_id", "_key"), "_id", "_key"), "digest-index")
+    both = keyed.join(known, F.col("_key") == F.col("_hex")).where(F.col("_id").eqNullSafe(F.col("_top")))
+    single = both.where("_tops = 1").select("_row")
+    tied = both.where("_tops > 1").dropDuplicates(["_key"]).select("_row")
+    return single.unionByName(tied).select("_row.*")

@@ -506,4 +506,6 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     found = classes(df, id_col, text_col)
     kept = stored(found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(
         F.col(id_col).alias("_keep")).distinct(), "kept")
-    return df.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("_keep")), "left_semi")
+    # The row travels as one column, so no name of its own can clash.
+    rows = df.select(F.struct(*df.columns).alias("_row"), F.col(id_col).cast("long").alias("_id"))
+    return rows.join(kept, F.col("_id").eqNullSafe(F.col("_keep")), "left_semi").select("_row.*")
