@@ -12,8 +12,9 @@ as template, if they stand on that share of the host. A host with few pages show
 elements that say what they are by tag, role or class (nav, aside, footer, form, "ad", "comments" ...)
 go too; in an article only a whole class or id says so, not a part of it, and math and labels are text.
 
-The main text is what remains of the page's outermost ``article`` elements, else of ``main``, else of
-the body. A block ends at every block-level tag and at ``br``.
+The main text is what remains of the ``article`` elements in the page's ``main`` elements, else of
+``main``, else of the outermost articles, else of the body; an article or main element whose class or id
+names it a comment, advert or the like counts as none. A block ends at every block-level tag and at ``br``.
 
 Defined results: null and empty html, and pages without main text, give the empty string. Markup that
 is cut off or badly nested is closed the way browsers do (a new paragraph or list item closes the open
@@ -173,8 +174,9 @@ def dropped(node: Node, in_article: bool) -> bool:
     """Whether an element says that it is no main text."""
     if (node.tag in DROP_TAGS and not (in_article and node.tag in ARTICLE_TAGS)) or (node.tag == "header" and not in_article):
         return True
-    if not node.attributes or node.tag in ("html", "body", "article", "main"):
+    if not node.attributes or node.tag in ("html", "body"):
         return False
+    in_article = in_article or node.tag in ("article", "main")  # judged by whole names wherever they stand
     a = _attributes(node)
     if "hidden" in a or a.get("aria-hidden") == "true" or a.get("role", "").lower() in DROP_ROLES:
         return True
@@ -192,23 +194,24 @@ def dropped(node: Node, in_article: bool) -> bool:
 
 
 def _find(root: Node, tag: str) -> list[Node]:
-    """Outermost elements with a tag that stand in nothing dropped."""
+    """Outermost elements with a tag that are not dropped and stand in nothing dropped."""
     out, rest = [], root.children[::-1]
     while rest:
         child = rest.pop()
-        if isinstance(child, Node):
+        if isinstance(child, Node) and not dropped(child, False):
             if child.tag == tag:
                 out.append(child)
-            elif not dropped(child, False):
+            else:
                 rest += child.children[::-1]
     return out
 
 
 def main_elements(root: Node) -> tuple[list[Node], bool]:
-    for tag in ("article", "main"):
-        if found := _find(root, tag):
-            return found, True
-    return [root], False
+    """The articles in the main elements, else the main elements, else the articles, else the page."""
+    if mains := _find(root, "main"):
+        return [a for m in mains for a in _find(m, "article")] or mains, True
+    found = _find(root, "article")
+    return (found, True) if found else ([root], False)
 
 
 def main_text(roots: list[Node], in_article: bool, template: frozenset | set = frozenset(),
