@@ -9,14 +9,18 @@ A-Z). Two documents link when their sets overlap in at least 80 % of their union
 3. Sets of equal size and prefix are one group. Groups meet at the shingles of their prefixes, and a
    pair of groups must pass the size and the position filter.
 4. Pairs of groups are expanded to members. Counts of a set's shingles in ``BUCKETS`` buckets bound the
-   overlap from above and rule most pairs out; the rest is verified on the whole sets, taken from the
-   text again.
-5. That happens in three rounds. First each group meets only the first group and two neighbours at each of its
-   ``NEAR`` rarest shared shingles, at most ``3 * NEAR`` partners, which joins most of a large
-   group of near copies. Then a group outside the largest component at a shingle meets ``BRIDGES`` of
-   that component's. Both rounds are linear in the number of prefix shingles. Last, every pair that
-   passes the filters and lies in different components meets. A pair that was not compared lies in
-   one component already, so no link between components is lost.
+   overlap from above and rule most pairs out, in the last round where they meet; the rest is verified on
+   the whole sets, taken from the text again.
+5. Groups are attached in steps, as one link is enough to join a component. A step looks at one shingle
+   of each group, the rarest that at least so many groups share, so that small and large classes each
+   have a step of their size. Only groups outside the largest component at that shingle look for
+   partners in it (among single groups, the first one is it). What a step attaches takes no part in the
+   next one, so the pairs of a large group of near copies stay near its size. Last, every pair that
+   passes the filters and lies in different components meets. A pair that was not compared lies in one
+   component already, so no link between components is lost.
+6. No task holds more than about ``HELD`` postings of one shingle. In the steps a more frequent shingle is
+   dealt into sections that look for partners on their own; in the last round each pair of its sections
+   meets in a task of its own.
 
 Defined results: a text of fewer than five words has its whole sequence as its one shingle; without
 words, and for null, the set is empty and links with nothing. Rows that share an id are one document
@@ -45,10 +49,13 @@ COUNT_BITS = 22
 SLICES = 64
 #: Partners of one document that a task verifies; more are dealt to several.
 PARTNERS = 500
-#: Rarest shared shingles of a group at which it looks for its first partners.
-NEAR = 6
-#: Members of a shingle's largest component that a group outside it meets there.
-BRIDGES = 32
+#: For each step: how many groups share the shingle at least, and how many partners a group meets there.
+#: More steps cost passes over the texts, fewer leave more pairs to the last round.
+STEPS = ((2, 1), (8, 2), (32, 4), (128, 8))
+#: Shingles of each step at which a group can be found by others.
+FOUND_AT = 3
+#: Postings of one shingle that a task holds; a more frequent shingle is dealt to several.
+HELD = 20_000
 #: Buckets of a set's histogram, which bounds an overlap before whole sets travel.
 BUCKETS = 128
 #: Bits of the filter that keeps texts no pair needs out of a shuffle, a table of fixed size.
@@ -162,6 +169,7 @@ def signatures(rows: DataFrame, counts: np.ndarray) -> DataFrame:
         sign, "_id long, n long, set_key binary, group_key binary, prefix binary, hist binary")
 
 
+POSTING_COLUMNS = ("token", "group", "n", "at")
 POSTING = "token long, group long, n long, at int"
 
 
@@ -204,68 +212,55 @@ def _pair_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64))], names=["a", "b"])
 
 
-def _near_pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each group with the first of its shingle and with the two before it, as the input is ordered."""
-    held = None  # the last two postings and the first of the last one's token
-    for batch in batches:
-        cols = [batch.column(i).to_numpy() for i in range(4)]
-        if not len(cols[0]):
-            continue
-        head = None
-        if held is not None:
-            cols, head = [np.concatenate([x, c]) for x, c in zip(held[0], cols, strict=True)], held[1]
-        t, g, n, at = cols
-        new = np.concatenate([[True], t[1:] != t[:-1]])
-        first = np.maximum.accumulate(np.where(new, np.arange(len(t)), 0))
-        hg, hn, ha = g[first], n[first], at[first]
-        if head is not None:
-            own = t == head[0]
-            hg, hn, ha = (np.where(own, h, x) for h, x in zip(head[1:], (hg, hn, ha), strict=True))
-        start = len(held[0][0]) if held is not None else 0
-        a, b = [], []
-        for back in (1, 2):
-            i = np.arange(max(start, back), len(t))
-            i = i[t[i] == t[i - back]]
-            i = i[passes(n[i], at[i], n[i - back], at[i - back])]
-            a.append(g[i])
-            b.append(g[i - back])
-        i = np.arange(start, len(t))
-        i = i[passes(n[i], at[i], hn[i], ha[i])]
-        a.append(g[i])
-        b.append(hg[i])
-        a, b = np.concatenate(a), np.concatenate(b)
-        held = [c[-2:] for c in cols], (t[-1], hg[-1], hn[-1], ha[-1])
-        yield _pair_batch(a[a != b], b[a != b])
-
-
-def _bridge_pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Groups outside their shingle's largest component with a few inside it; columns as for the cross pairs."""
-    for t, g, size, place, comp, mixed in _runs(batches):
-        edges = np.concatenate([np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]])), [len(t)]])
-        a, b = [], []
-        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-            if hi - lo < 2 or (comp[lo:hi] == comp[lo]).all():
-                continue
-            labels, n = np.unique(comp[lo:hi], return_counts=True)
-            inside = comp[lo:hi] == labels[n.argmax()]
-            major = lo + np.flatnonzero(inside)
-            for x in lo + np.flatnonzero(~inside):
-                y = major[passes(size[major], place[major], size[x], place[x])]
-                if len(y) > BRIDGES:  # others at each shingle
-                    at = int(mix(np.array([g[x]]).view(np.uint64) + t[x : x + 1].view(np.uint64))[0] % np.uint64(len(y)))
-                    y = y[(at + np.arange(BRIDGES) * (len(y) // BRIDGES)) % len(y)]
-                a.append(g[y])
-                b.append(np.full(len(y), g[x]))
-        if a:
-            yield _pair_batch(np.concatenate(a), np.concatenate(b))
+def _outside_pairs(partners: int):
+    """Groups outside a shingle's largest component, whose turn it is there, with ``partners`` inside it.
+
+    Columns: shingle or section of one, group, n, at, component, mixed, turn.
+    """
+
+    def pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, g, size, place, comp, _, turn in _runs(batches):
+            edges = np.concatenate([np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]])), [len(t)]])
+            a, b = [], []
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                if hi - lo < 2 or (comp[lo:hi] == comp[lo]).all():
+                    continue
+                labels, n = np.unique(comp[lo:hi], return_counts=True)
+                inside = comp[lo:hi] == labels[n.argmax()]
+                major = lo + np.flatnonzero(inside)
+                for x in lo + np.flatnonzero(~inside & turn[lo:hi]):
+                    y = major[passes(size[major], place[major], size[x], place[x])]
+                    if len(y) > partners:  # others at each shingle
+                        at = int(mix(np.array([g[x]]).view(np.uint64) + t[x : x + 1].view(np.uint64))[0] % np.uint64(len(y)))
+                        y = y[(at + np.arange(partners) * (len(y) // partners)) % len(y)]
+                    a.append(g[y])
+                    b.append(np.full(len(y), g[x]))
+            if a:
+                yield _pair_batch(np.concatenate(a), np.concatenate(b))
+
+    return pairs
+
+
+def _apart(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The postings at shingles whose groups do not lie in one component; columns as for the cross pairs but ``hist``."""
+    names = [*POSTING_COLUMNS, "component", "mixed", "section"]
+    for cols in _runs(batches):
+        t, comp, mixed = cols[0], cols[4], cols[5]
+        first = np.concatenate([[True], t[1:] != t[:-1]])
+        run, starts = np.cumsum(first) - 1, np.flatnonzero(first)
+        several = np.maximum.reduceat(comp, starts) != np.minimum.reduceat(comp, starts)
+        keep = (several | np.logical_or.reduceat(mixed.astype(bool), starts))[run]
+        yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in cols], names=names)
 
 
 def _cross_pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All pairs of groups at a shingle that pass the filters and do not lie in one component.
+    """All pairs of groups at a shingle that pass the filters, do not lie in one component, and whose
+    histograms allow enough overlap (a group of several sets has none and passes).
 
-    Columns: token, group, n, at, component, mixed (the group's own members lie in several).
+    Columns: shingle or pair of its sections, group, n, at, component, mixed (the group's own members lie
+    in several), section, hist. Where two sections meet, pairs within one are left to that section's own task.
     """
-    for t, g, size, place, comp, mixed in _runs(batches):
+    for t, g, size, place, comp, mixed, section, hist in _runs(batches):
         edges = np.concatenate([np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]])), [len(t)]])
         a, b = [], []
         for lo, hi in zip(edges[:-1], edges[1:], strict=True):
@@ -273,12 +268,21 @@ def _cross_pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             order = lo + np.lexsort((comp[lo:hi], mixed[lo:hi]))  # equal components side by side
             c, m = comp[order], mixed[order]
+            apart = (section[lo:hi] != section[lo]).any()
+            known = np.array([h is not None for h in hist[lo:hi]])
+            counts = np.frombuffer(b"".join(h or bytes(BUCKETS) for h in hist[lo:hi]), np.uint8).reshape(-1, BUCKETS)
             for i in range(len(order) - 1):  # against what follows the own component
                 j = i + 1 if m[i] else max(i + 1, int(np.searchsorted(c[: len(c) - int(m.sum())], c[i], "right")))
                 x, y = order[i], order[j:]
                 ok = passes(size[y], place[y], size[x], place[x]) & (g[y] != g[x])
-                a.append(g[y][ok])
-                b.append(np.full(int(ok.sum()), g[x]))
+                if apart:
+                    ok &= section[y] != section[x]
+                y = y[ok]
+                if known[x - lo] and len(y):
+                    both = np.minimum(counts[y - lo], counts[x - lo]).sum(1, dtype=np.int64)
+                    y = y[~known[y - lo] | (9 * both >= 4 * (size[y] + size[x]))]
+                a.append(g[y])
+                b.append(np.full(len(y), g[x]))
             if sum(map(len, a)) > 500_000:
                 yield _pair_batch(np.concatenate(a), np.concatenate(b))
                 a, b = [], []
@@ -294,26 +298,35 @@ def _sieve_places(ids: np.ndarray) -> list[np.ndarray]:
 
 def sieve(ids: DataFrame) -> np.ndarray:
     """Bloom filter of the ids in the first column, packed: ``2^SIEVE_BITS`` bits, always."""
-    kind = "slice int, bits binary"
+    kind = "slice int, few boolean, bits binary"
+    names, width = ["slice", "few", "bits"], (1 << SIEVE_BITS) // SLICES
+
+    def batch_of(k: int, few: bool, data: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([few]), pa.array([data.tobytes()], pa.binary())],
+                                          names=names)
 
     def mark(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << SIEVE_BITS, bool)
+        bits = np.zeros((SLICES, width), bool)
         for batch in batches:
             for place in _sieve_places(batch.column(0).to_numpy()):
-                bits[place] = True
-        for k, part in enumerate(np.split(np.packbits(bits), SLICES)):
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())],
-                                                 names=["slice", "bits"])
+                bits.ravel()[place] = True
+        for k in np.flatnonzero(bits.any(1)).tolist():
+            set_ = np.flatnonzero(bits[k]).astype(np.uint32)
+            few = len(set_) < width // 32  # places take less room than bits
+            yield batch_of(k, few, set_ if few else np.packbits(bits[k]))
 
     def unite(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
-            for k, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                total[k] = total.get(k, 0) | np.frombuffer(b, np.uint8)
-        for k, b in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([b.tobytes()], pa.binary())],
-                                             names=["slice", "bits"])
+            for k, few, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                bits = total.setdefault(k, np.zeros(width // 8, np.uint8))
+                if few:
+                    set_ = np.frombuffer(data, np.uint32)
+                    np.bitwise_or.at(bits, set_ >> 3, (128 >> (set_ & 7)).astype(np.uint8))
+                else:
+                    bits |= np.frombuffer(data, np.uint8)
+        for k, bits in total.items():
+            yield batch_of(k, False, bits)
 
     parts = ids.mapInArrow(mark, kind).repartition(SLICES, "slice").mapInArrow(unite, kind).collect()
     out = np.zeros((SLICES, (1 << SIEVE_BITS) // 8 // SLICES), np.uint8)
@@ -349,7 +362,7 @@ def possible(pairs: DataFrame, hists: DataFrame) -> DataFrame:
             keep[known] = 9 * np.minimum(x, y).sum(1) >= 4 * (x.sum(1) + y.sum(1))
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep)) for i in (0, 1)], names=["a", "b"])
 
-    near = sifted(hists.select(F.col("rep").alias("_id"), "hist"), sieve(pairs.select(F.explode(F.array("a", "b"))).coalesce(8)))
+    near = sifted(hists.select(F.col("rep").alias("_id"), "hist"), sieve(pairs.select(F.explode(F.array("a", "b")))))
     near = stored(near, "near-histograms")
     one, two = (near.select(F.col("_id").alias(f"_{c}"), F.col("hist").alias(f"_h{c}")) for c in "ab")
     both = pairs.join(one, F.col("a") == F.col("_a"), "left").join(two, F.col("b") == F.col("_b"), "left")
@@ -365,7 +378,11 @@ def verified(rows: DataFrame, pairs: DataFrame, hists: DataFrame) -> DataFrame:
     """
     small_batches(rows.sparkSession)
     met = stored(pairs.select("a", "b").where("a <> b").distinct(), "pairs")
-    pairs = stored(possible(met, hists), "possible-pairs")
+    if not met.isEmpty():
+        met = stored(possible(met, hists), "possible-pairs")
+    if met.isEmpty():
+        return met.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    pairs = met
     parts = pairs.groupBy(F.col("a").alias("_a")).agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("_parts"))
     dealt = pairs.join(parts.where("_parts > 1"), F.col("a") == F.col("_a"), "left")
     part = F.coalesce(F.pmod(F.xxhash64("b"), F.col("_parts")), F.lit(0)).cast("int").alias("part")
@@ -373,7 +390,7 @@ def verified(rows: DataFrame, pairs: DataFrame, hists: DataFrame) -> DataFrame:
     own = parts.select("_a", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("part")).select(
         F.col("_a").alias("_to"), F.struct(F.col("_a").alias("a"), "part", F.lit(False).alias("partner")).alias("_at"))
     ways = to.unionByName(own).groupBy("_to").agg(F.collect_list("_at").alias("_ways")).hint("merge")
-    met = sieve(pairs.select(F.explode(F.array("a", "b"))).coalesce(8))
+    met = sieve(pairs.select(F.explode(F.array("a", "b"))))
     texts = sifted(rows, met).join(ways, F.col("_id") == F.col("_to")).select("_id", "_text", "_ways")
 
     def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -439,16 +456,14 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     postings = prefixes.select("_g", "n", "prefix").mapInArrow(_postings, POSTING)
     # Prefix shingles that one group alone has meet nothing.
     shared = stored(postings.repartition(parallel(df), "token").sortWithinPartitions("token").mapInArrow(
-        _several, POSTING), "shared")
+        _several, f"{POSTING}, posts long"), "shared")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50000")
-    rarest = Window.partitionBy("group").orderBy("at", "token")
-    few = shared.withColumn("_k", F.row_number().over(rarest)).where(F.col("_k") <= NEAR).select(*shared.columns)
-    # Of about equal sizes, another order at each shingle, so that neighbours differ.
-    band = F.floor(F.log(F.col("n").cast("double")) / np.log(1.1))
-    ordered = few.repartition(parallel(df), "token").sortWithinPartitions("token", band, F.xxhash64("group", "token"))
-    near = ordered.mapInArrow(_near_pairs, "a long, b long")
+    # The place of each posting among its group's shingles that are shared widely enough for a step.
+    rarer = Window.partitionBy("group").orderBy("at", "token").rowsBetween(Window.unboundedPreceding, 0)
+    wide = [F.col("posts") >= least for least, _ in STEPS]
+    few = shared.select("*", *(F.when(w, F.sum(w.cast("int")).over(rarer)).alias(f"turn{k}") for k, w in enumerate(wide)))
+    few = stored(few.where(F.least(*(f"turn{k}" for k in range(len(STEPS)))) <= FOUND_AT), "rarest")
     inside = members.where("members > 1 AND rep <> group").select(F.col("group").alias("a"), F.col("rep").alias("b"))
-    first = verified(rows, near.unionByName(inside), hists)
     # Copies of a set under ids of their own are found again through the set; only ids shared by sets link here.
     twice = full.groupBy("_id").agg(F.countDistinct("set_key").alias("k")).where("k > 1").select(F.col("_id").alias("_d"))
     shared_ids = same_id.join(twice, F.col("u") == F.col("_d"), "left_semi")
@@ -456,22 +471,47 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     def placed_by(links: DataFrame) -> DataFrame:
         """Members with their group and component."""
         found = components(links)
-        return members.select("rep", "group").join(found, F.col("rep") == F.col("node"), "left").select(
-            "rep", "group", F.coalesce("component", "rep").alias("component"))
+        return stored(members.select("rep", "group").join(found, F.col("rep") == F.col("node"), "left").select(
+            "rep", "group", F.coalesce("component", "rep").alias("component")), "placed")
 
-    def open_by(at: DataFrame) -> DataFrame:
-        """The shared postings with their group's component, by token."""
+    def open_by(postings: DataFrame, at: DataFrame) -> DataFrame:
+        """The postings with their group's component."""
         state = at.groupBy(F.col("group").alias("_g")).agg(
             F.min("component").alias("component"), (F.min("component") != F.max("component")).alias("mixed"))
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50000")
-        open_ = shared.join(state, F.col("group") == F.col("_g")).select(*shared.columns, "component", "mixed")
-        return open_.repartition(parallel(df), "token").sortWithinPartitions("token")
-
-    open_ = open_by(placed_by(first.unionByName(shared_ids)))
-    bridges = verified(rows, open_.mapInArrow(_bridge_pairs, "a long, b long"), hists)
-    first = first.unionByName(bridges)
-    placed = stored(placed_by(first.unionByName(shared_ids)), "placed")
-    open_ = open_by(placed)
+        return postings.join(state, F.col("group") == F.col("_g")).select(*POSTING_COLUMNS, "component", "mixed", *(
+            c for c in postings.columns if c not in POSTING_COLUMNS))
+
+    def by_token(postings: DataFrame) -> DataFrame:
+        return postings.repartition(parallel(df), "token").sortWithinPartitions("token")
+
+    parts = F.ceil(F.col("posts") / HELD)
+    placed, links = members.select("rep", "group", F.col("rep").alias("component")), shared_ids
+    for step, (_, partners) in enumerate(STEPS):
+        section = F.xxhash64("token", F.pmod(F.xxhash64("group", F.lit(step)), parts))  # others at each step
+        open_ = open_by(few, placed).withColumn("token", F.when(parts > 1, section).otherwise(F.col("token")))
+        turn = F.coalesce(F.col(f"turn{step}") == 1, F.lit(False)).alias("turn")
+        pairs = by_token(open_.select(*POSTING_COLUMNS, "component", "mixed", turn)).mapInArrow(
+            _outside_pairs(partners), "a long, b long")
+        found = verified(rows, pairs.unionByName(inside) if step == 0 else pairs, hists)
+        links = links.unionByName(found)
+        placed = placed_by(links)
+    open_ = open_by(shared, placed).withColumn("section", F.lit(0))
+    if not shared.where(parts > 1).isEmpty():
+        hot = open_.where(parts > 1)
+        # A frequent shingle whose groups lie in one component has no pair left.
+        several = hot.groupBy(F.col("token").alias("_t")).agg(
+            F.min("component").alias("_low"), F.max("component").alias("_high"), F.max("mixed").alias("_mixed")).where(
+            "_low <> _high OR _mixed").select("_t")
+        split = hot.join(several, F.col("token") == F.col("_t")).withColumn(
+            "section", F.pmod(F.xxhash64("group"), parts).cast("int"))
+        split = split.select("*", F.explode(F.sequence(F.lit(0), parts.cast("int") - 1)).alias("_other")).withColumn(
+            "token", F.xxhash64("token", F.least("section", "_other"), F.greatest("section", "_other")))
+        open_ = open_.where(parts <= 1).unionByName(split.select(*open_.columns))
+    kind = f"{POSTING}, component long, mixed boolean, section int"
+    open_ = by_token(open_.drop("posts")).mapInArrow(_apart, kind)
+    alone = members.where("members = 1").join(hists, "rep").select(F.col("group").alias("_g"), "hist")
+    open_ = by_token(open_.join(alone, F.col("group") == F.col("_g"), "left").drop("_g"))
     state = placed.groupBy(F.col("group").alias("_g")).agg(
         (F.min("component") != F.max("component")).alias("mixed"))
     crossed = open_.mapInArrow(_cross_pairs, "a long, b long").distinct()
@@ -482,8 +522,7 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     mixed = own.join(right, F.col("a") == F.col("b")).where("ca <> cb AND ra < rb").select(
         F.col("ra").alias("a"), F.col("rb").alias("b"))
     more = verified(rows, rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(mixed), hists)
-    links = first.unionByName(more).unionByName(shared_ids)
-    final = components(links)
+    final = components(links.unionByName(more))
     label = stored(reps.select("set_key", "rep").join(final, F.col("rep") == F.col("node"), "left").select(
         F.col("set_key").alias("_k"), F.coalesce("component", "rep").alias("_c")), "labels")
     out = signed.select("_id", "n", F.when(F.col("n") > 0, F.col("set_key")).alias("set_key")).join(
@@ -493,12 +532,14 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def _several(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Postings whose token occurs at least twice; input sorted by token."""
+    """Postings whose token occurs at least twice, with how often; input sorted by token."""
     for cols in _runs(batches):
         t = cols[0]
         same = t[1:] == t[:-1]
         keep = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-        yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in cols], names=["token", "group", "n", "at"])
+        edges = np.concatenate([np.flatnonzero(np.concatenate([[True], ~same])), [len(t)]])
+        posts = np.repeat(np.diff(edges), np.diff(edges))
+        yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (*cols, posts)], names=[*POSTING_COLUMNS, "posts"])
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -156,8 +156,10 @@ def brute_classes(rows):
                                for s in [next(iter(sets[r[0]]))])
 
 
-def test_jaccard_classes(docs, rows, none, monkeypatch):
+@pytest.mark.parametrize("held", [2, jaccard.HELD])
+def test_jaccard_classes(docs, rows, none, monkeypatch, held):
     monkeypatch.setattr(jaccard, "PARTNERS", 2)
+    monkeypatch.setattr(jaccard, "HELD", held)  # shingles dealt to several tasks
     got = jaccard.classes(docs).select("doc_id", "n_shingles", "component_id").collect()
     assert collections.Counter(map(tuple, got)) == brute_classes(rows)
     assert jaccard.classes(none).count() == 0
@@ -462,3 +464,35 @@ def test_every_language_is_learnt(spark, monkeypatch):
     monkeypatch.setattr(language, "ROWS_PER_LANGUAGE", 1)
     df = spark.createDataFrame([(i, f"text {i} of {i}", f"l{i}") for i in range(210)], "doc_id long, text string, lang string")
     assert len(language.train(df, F.lit(True)).languages) == 210
+
+
+def test_jaccard_attaches_a_large_group_with_few_pairs(spark, monkeypatch):
+    """Near copies of one text: the pairs compared stay near their number, and all are one class."""
+    import random
+
+    rng, met = random.Random(11), []
+    words = [f"w{rng.randrange(5000)}" for _ in range(400)]
+    rows = []
+    for i in range(600):
+        own = list(words)
+        for at in rng.sample(range(400), 3):
+            own[at] = f"x{rng.randrange(10**9)}"
+        rows.append((i, " ".join(own)))
+    plain = jaccard.verified
+
+    def counted(rows, pairs, hists):
+        met.append(pairs.select("a", "b").distinct().count())
+        return plain(rows, pairs, hists)
+
+    monkeypatch.setattr(jaccard, "verified", counted)
+    got = jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["component_id"] for r in got} == {0}
+    assert sum(met) < 4 * len(rows)
+
+
+def test_sieve_holds_every_id(spark):
+    ids = spark.range(0, 40000, 7).repartition(9)
+    bits = jaccard.sieve(ids)
+    asked = spark.range(0, 40000).select(F.col("id").alias("_id"))
+    kept = {r[0] for r in jaccard.sifted(asked, bits).collect()}
+    assert set(range(0, 40000, 7)) <= kept and len(kept) < 6500
