@@ -69,6 +69,50 @@ def assemble_ocr(df: DataFrame, blocks: str = "blocks") -> DataFrame:
     )
 
 
+OCR_LINES = 4096  # lines that are one array at a time
+
+
+def assemble_ocr_table(blocks: DataFrame, key: str = "document_key", order: str = "block", lines: int = OCR_LINES) -> DataFrame:
+    """``assemble_ocr`` for a table with a row a block: one row a document, for documents of any length.
+
+    ``order`` is a block's place in its document, from 0. Lines of a page meet in runs of ``lines``
+    places, and a document in its runs' texts, so no array holds all of its lines and one that has most
+    rows of the table is assembled by many tasks. Figures are sums folded before they move. In place of
+    an array of weak blocks there are their number and the first; ``weak_ocr_blocks`` lists them.
+    """
+    page = F.coalesce(F.col("page"), F.lit(1)).alias("_page")
+    rows = blocks.where(F.col("block_type") == "LINE") if "block_type" in blocks.columns else blocks
+    rows = rows.select(F.col(key).alias("_key"), page, F.col(order).cast("bigint").alias("_ord"),
+                       text_or_empty(F.col("text")).alias("_text"),
+                       F.coalesce(F.col("confidence"), F.lit(0.0)).cast("double").alias("_conf"))
+    low = F.col("_conf") < LOW_OCR_BLOCK
+    runs = rows.groupBy("_key", "_page", F.floor(F.col("_ord") / lines).alias("_run")).agg(
+        F.sort_array(F.collect_list(F.struct("_ord", "_text"))).alias("_lines"), F.count(F.lit(1)).alias("_n"),
+        F.sum("_conf").alias("_conf"), F.count_if(low).alias("_low"),
+        F.min(F.when(low, F.struct("_ord", F.col("_text").alias("text"), F.col("_conf").alias("conf"), F.col("_page").alias("page")))).alias("_first"))
+    texts = runs.withColumn("_text", F.array_join(F.transform("_lines", lambda x: x["_text"]), "\n")).drop("_lines")
+    pages = texts.groupBy("_key", "_page").agg(
+        F.sort_array(F.collect_list(F.struct("_run", "_text"))).alias("_runs"), F.sum("_n").alias("_n"),
+        F.sum("_conf").alias("_conf"), F.sum("_low").alias("_low"), F.min("_first").alias("_first"))
+    pages = pages.withColumn("_text", F.array_join(F.transform("_runs", lambda x: x["_text"]), "\n")).drop("_runs")
+    whole = pages.groupBy("_key").agg(
+        F.sort_array(F.collect_list(F.struct("_page", "_text"))).alias("_pages"),
+        F.sum("_n").alias("_n"), F.sum("_conf").alias("_conf"), F.sum("_low").alias("_low"), F.min("_first").alias("_first"))
+    texts = F.transform("_pages", lambda x: x["_text"])
+    first = F.col("_first")
+    return whole.select(
+        F.col("_key").alias(key), F.array_join(texts, "\n\n").alias("full_text"), texts.alias("page_texts"),
+        F.size("_pages").alias("page_count"), round_half_even(F.col("_conf") / F.col("_n"), 2).alias("mean_confidence"),
+        F.col("_low").alias("n_low_conf"),
+        F.when(first.isNotNull(), F.struct(first["text"].alias("text"), first["conf"].alias("conf"), first["page"].alias("page"))).alias("first_low_conf"))
+
+
+def weak_ocr_blocks(blocks: DataFrame) -> DataFrame:
+    """The lines below the confidence that a weak block has, a row each."""
+    rows = blocks.where(F.col("block_type") == "LINE") if "block_type" in blocks.columns else blocks
+    return rows.where(F.coalesce(F.col("confidence"), F.lit(0.0)) < LOW_OCR_BLOCK)
+
+
 # ---------------------------------------------------------------- parsers
 
 def hl7_columns(segments: Column) -> dict[str, Column]:

@@ -30,6 +30,7 @@ from ..operators.validate import validate
 from ..schemas import PHASES
 from ..sources.landing import source_union
 from .observed import WHOLE, RunMeter
+from .resume import PhaseStore, phase_fingerprints
 
 
 @dataclass
@@ -115,45 +116,58 @@ STEPS = [
 
 def run_phases(raw: DataFrame, services: Services | None = None, until: str = "agents",
                run_ts: Column | None = None,
-               on_phase: Callable[[str, DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Records after the phase ``until``. ``on_phase`` may write a phase and hand back the table."""
+               on_phase: Callable[[str, DataFrame], DataFrame] | None = None,
+               start: tuple[str, DataFrame] | None = None) -> DataFrame:
+    """Records after the phase ``until``. ``on_phase`` may write a phase and hand back the table.
+
+    ``start`` names a phase and its records; the run goes on after it and does not read ``raw``.
+    """
     if until not in PHASES:
         raise ValueError(f"unknown phase: {until}")
     services = services or Services()
     keep = on_phase or (lambda name, df: df)
-    df = keep("ingestion", ingest(raw, run_ts))
+    done, df = start or ("ingestion", None)
+    if df is None:
+        df = keep("ingestion", ingest(raw, run_ts))
     for name, step in STEPS:
-        if PHASES.index(name) > PHASES.index(until):
-            break
-        df = keep(name, step(df, services))
+        if PHASES.index(done) < PHASES.index(name) <= PHASES.index(until):
+            df = keep(name, step(df, services))
     return df
 
 
 def run_batch(spark: SparkSession, raw: DataFrame, out: str, run_id: str,
               services: Services | None = None, until: str = "observability",
               gold: DataFrame | None = None, timings: DataFrame | None = None,
-              phase_files: bool = False, run_ts: Column | None = None) -> DataFrame | None:
+              phase_files: bool = False, run_ts: Column | None = None, resume: bool = False) -> DataFrame | None:
     """Run, write the records once, derive every other output from that table.
 
     Returns the one-row report, or None when the run stops before it. The records table is the
     point a lost executor falls back to: reports and result tables read it and never recompute
     the phases. Means, calls and times come from figures taken during the writes; times are per phase
     with ``phase_files`` and for the whole run without. ``timings`` takes their place where given.
+    With ``resume`` phases are kept by fingerprint under ``out`` for all its runs, and this run starts
+    from the newest that fits its inputs, services and code; phases taken over have no time.
     """
     meter = RunMeter()
+    store = PhaseStore(spark, f"{out}/phases", phase_fingerprints(raw, services or Services(), run_ts)) if resume else None
+    start = store.newest(until) if store else None
+    if start:
+        start = (start[0], meter.watched(*start))
 
     def on_phase(name: str, df: DataFrame) -> DataFrame:
         df = meter.watched(name, df)
+        if store:
+            return store.keep(name, df, lambda write: meter.timed(name, write))
         if not phase_files:
             return df
         folder = f"{out}/phases/run_id={run_id}"
         meter.timed(name, lambda: sinks.write_phase(df, folder, PHASES.index(name) + 1, name))
         return spark.read.parquet(sinks.phase_path(folder, PHASES.index(name) + 1, name))
 
-    records = run_phases(raw, services, until, run_ts, on_phase)
+    records = run_phases(raw, services, until, run_ts, on_phase, start)
     path = f"{out}/records/run_id={run_id}"
     meter.timed(WHOLE, lambda: records.write.mode("overwrite").parquet(path))
-    if phase_files:
+    if phase_files or resume:
         meter.rows.pop(WHOLE)  # only a copy of the last phase's table
     sinks.write_stages(meter.table(spark), f"{out}/run_id={run_id}")
     records = spark.read.parquet(path)

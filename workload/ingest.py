@@ -117,6 +117,15 @@ def assemble_ocr(spark, sf):
         F.coalesce(F.get(o["low_conf_blocks"], F.lit(0))["conf"], F.lit(-1.0)).alias("first_low"))
 
 
+def assemble_ocr_table(spark, sf):
+    """The same blocks as a table with a row each, as an OCR service's output lands."""
+    rows = document_blocks(spark, sf).select("doc_id", F.posexplode("blocks").alias("block", "b")).select("doc_id", "block", "b.*")
+    return nm.assemble_ocr_table(rows, "doc_id").select(
+        "doc_id", F.md5("full_text").alias("text_md5"), F.col("page_count").cast("bigint").alias("page_count"),
+        "mean_confidence", F.col("n_low_conf").alias("n_low"),
+        F.coalesce(F.col("first_low_conf")["conf"], F.lit(-1.0)).alias("first_low"))
+
+
 ASSEMBLE_SQL = f"""
 WITH lines AS (
   SELECT doc_id, list_transform(string_split(text, chr(10)), lambda t, i: {{
@@ -199,7 +208,7 @@ DUCK_NORMAL = ("SELECT file, patient_name, patient_dob, patient_id, array_to_str
 
 QUERIES = {f.__name__: f for f in (
     scan_fax, scan_hl7, scan_fhir, scan_edi, scan_webhook, source_union, source_union_all, bad_record_isolation,
-    normalize_hl7, normalize_fhir, normalize_edi, assemble_ocr, to_canonical, document_key,
+    normalize_hl7, normalize_fhir, normalize_edi, assemble_ocr, assemble_ocr_table, to_canonical, document_key,
     dedup_codes, validate, code_format_warnings, dlq_split, in_flight, data_quality_rollup)}
 
 ORACLES = {
@@ -220,6 +229,7 @@ ORACLES = {
     "normalize_fhir": S.query(S.DOCS, DUCK_NORMAL.format(s="fhir_r4")),
     "normalize_edi": S.query(S.DOCS, DUCK_NORMAL.format(s="edi837")),
     "assemble_ocr": ASSEMBLE_SQL,
+    "assemble_ocr_table": ASSEMBLE_SQL,
     "to_canonical": S.query(S.DOCS, """SELECT file, source_type, source_id, patient_name, patient_dob, patient_id,
         array_to_string(dx, '|') AS diagnosis_codes, array_to_string(px, '|') AS procedure_codes, payer_id,
         CASE WHEN source <> 'fax' OR ocr IS NOT NULL THEN page_count END AS page_count,
