@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from claimflow.fixed import RULES
 from claimflow.operators.rules import apply_rules, rule_confidence
-from claimflow.operators.ruletable import apply_rule_table, load_catalogue
+from claimflow.operators.ruletable import MOST_RULES, apply_rule_table, load_catalogue, rule_signals
 from workload import classify
 
 SF = "/root/testdata/sf0.001"
@@ -79,3 +79,26 @@ def test_five_thousand_rules_cost_less_than_a_test_each(spark):
 
 def test_query_equals_sql(spark):
     assert compare(classify.rule_table(spark, SF), connect(SF), classify.ORACLES["rule_table"]) == ""
+
+
+@pytest.mark.parametrize("most", [50_000, 3])
+def test_a_rule_frame_gives_the_catalogues_signals(spark, texts, most):
+    odd = [("a", [r"(?:cpt|icd) \d+", "prior", "prior"], 0.9), ("b", [r"[x-z]{9}", "prior.*authorization", r"\bprior\b"], 0.5), ("c", ["^$"], 0.3)]
+    for catalogue in (RULES, odd):
+        s = F.col("s")
+        want = apply_rule_table(texts, catalogue).select("id", F.explode("signals").alias("s")).select(
+            "id", s["document_type"], s["confidence"], s["matched_rule"])
+        got = rule_signals(texts, table(spark, catalogue), "id", most_heads=most)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert rule_signals(texts, table(spark, RULES).where("false"), "id").count() == 0
+
+
+def test_more_rules_than_a_catalogue_holds(spark):
+    n = MOST_RULES + 20_000
+    rules = spark.range(n).select((F.col("id") % 40).cast("string").alias("document_type"), F.format_string(r"\bcode%d\b", "id").alias("pattern"),
+                                  F.lit(0.9).alias("base"), F.col("id").alias("ord"))
+    rows = [(1, f"Code{n - 1} code7, code{n}"), (2, "code"), (None, "code40 code0"), (None, "code40 code0"), (5, None)]
+    got = rule_signals(spark.createDataFrame(rows, "id int, full_text string"), rules, "id").collect()
+    level = rule_confidence(0.9, 1, n // 40), rule_confidence(0.9, 2, n // 40)
+    want = [(1, "39", level[0], rf"\bcode{n - 1}\b"), (1, "7", level[0], r"\bcode7\b"), *[(None, "0", level[1], r"\bcode0\b")] * 2]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)

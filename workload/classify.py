@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from claimflow.operators import classify as cl
 from claimflow.operators.rules import apply_rules, top_two
-from claimflow.operators.ruletable import apply_rule_table, load_catalogue
+from claimflow.operators.ruletable import rule_signals
 from claimflow.operators.textmodel import TextModel
 from claimflow.session import scratch
 from claimflow.sources.landing import spread
@@ -47,14 +47,12 @@ RULE_TABLE = """SELECT p_brand AS document_type, CASE p_partkey % 3 WHEN 0 THEN
 
 
 def rule_table(spark, sf):
-    """A rule for every part, grouped by brand, over every valid document in one pass of an automaton."""
+    """A rule for every part, grouped by brand, over every valid document; the rules stay a table, however many."""
     table(spark, sf, "part").select("p_partkey", "p_brand").createOrReplaceTempView("rule_parts")
-    catalogue = load_catalogue(spark.sql(RULE_TABLE.replace("FROM part", "FROM rule_parts")))
+    rules = spark.sql(RULE_TABLE.replace("FROM part", "FROM rule_parts"))
     docs = ingested(spark, sf).where(F.col("disposition").isNull()).select("file", "full_text")
-    s = F.col("s")
-    return apply_rule_table(docs, catalogue).select("file", F.explode("signals").alias("s")).select(
-        "file", s["document_type"].alias("document_type"), F.round(s["confidence"], 3).alias("confidence"),
-        s["matched_rule"].alias("matched_rule"))
+    return rule_signals(docs, rules, "file").select(
+        "file", "document_type", F.round("confidence", 3).alias("confidence"), "matched_rule")
 
 
 def rank_signals(spark, sf):
