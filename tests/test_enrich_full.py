@@ -126,3 +126,9 @@ def test_queries_equal_sql(spark, name):
     df = we.QUERIES[name](spark, SF)
     assert compare(df, connect(SF), we.ORACLES[name]) == ""
     assert df.select(df.columns[1]).distinct().count() == 2
+
+
+def test_plan_names_the_filter_once(spark, registry):
+    row = build_filter(registry.select("npi"), 64)
+    tested = spark.range(1).select(passes(F.col("id").cast("string"), row, 64).alias("hit"))
+    assert tested._jdf.queryExecution().analyzed().expressions().toString().count("scalar-subquery") == 1
