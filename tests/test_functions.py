@@ -6,6 +6,7 @@ from claimflow.functions import text as tx
 from claimflow.functions.jsontext import is_json, object_map
 from claimflow.operators.govern import redact
 from claimflow.operators.rules import needles, rule_confidence
+from claimflow.sources.landing import spread
 
 
 def one(spark, column):
@@ -48,3 +49,10 @@ def test_rule_needles_and_levels():
     assert needles(r"\brefer.*patient\b") == ["refer", "patient"]
     assert needles(r"a|b") == []
     assert [rule_confidence(0.92, h, 10) for h in (1, 2, 3)] == [0.7544, 0.8648, 0.92]
+
+
+def test_spread_bounds_the_rows_of_a_task(spark, tmp_path):
+    spark.range(1000).coalesce(1).write.parquet(str(tmp_path / "t"))
+    df = spread(spark.read.parquet(str(tmp_path / "t")), rows=50)
+    assert df.rdd.getNumPartitions() == 20 and max(len(p) for p in df.rdd.glom().collect()) <= 60
+    assert sorted(r.id for r in df.collect()) == list(range(1000))
