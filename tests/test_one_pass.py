@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import datetime
+from decimal import Decimal
+
+import pytest
 from pyspark.sql import functions as F
 
 from claimflow.functions.fence import settle
+from workload import classify, stages
 
 
 def optimized(df) -> str:
@@ -24,3 +29,33 @@ def test_no_filter_passes_the_fence(spark):
     assert plan.index("Filter") < plan.index("Generate") and plan.count("sha2(") == 1
     plain = spark.range(6).select(F.sha2(F.col("id").cast("string"), 256).alias("h"), "id").where("h > '5' and id > 1")
     assert sorted(df.collect()) == sorted(plain.collect())
+
+
+@pytest.fixture(scope="module")
+def orders(spark, tmp_path_factory):
+    """Orders with a key that repeats and a null customer."""
+    sf = str(tmp_path_factory.mktemp("one-pass"))
+    rows = [(k, None if k == 7 else k % 9, Decimal(k) / 3, datetime.date(2024, 1, 1)) for k in [*range(1, 241), 17, 17]]
+    spark.createDataFrame(rows, "o_orderkey bigint, o_custkey bigint, o_totalprice decimal(15,2), o_orderdate date").write.parquet(f"{sf}/orders.parquet")
+    return sf
+
+
+def unwritten(spark, sf, query):
+    """The query's rows; it must not have written a phase on its way to them."""
+    before = set(stages._written)
+    rows = sorted(map(tuple, query(spark, sf).collect()), key=str)
+    assert set(stages._written) == before
+    return rows
+
+
+def as_rows(df):
+    return sorted(map(tuple, df.collect()), key=str)
+
+
+def test_documents_by_type(spark, orders):
+    got = unwritten(spark, orders, classify.documents_by_type)
+    c = F.col("classification")
+    by_hand = stages.classified(spark, orders).where(c.isNotNull()).groupBy("document_type", c["method"], c["routing_queue"]).agg(
+        F.count(F.lit(1)), F.count_if(F.col("disposition") == "human_review"), F.round(F.avg(c["confidence"]), 4))
+    assert got == as_rows(by_hand) and len(got) > 5
+    assert as_rows(classify.documents_by_type(spark, orders)) == got  # now from the written phase before

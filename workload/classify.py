@@ -13,7 +13,7 @@ from claimflow.sources.landing import spread
 
 from . import sql as S
 from .corpus import table
-from .stages import classified, ingested, live_classified
+from .stages import classified, ingested, live_classified, passed
 
 
 def source_hint(spark, sf):
@@ -87,7 +87,7 @@ def classification_close_out(spark, sf):
 def documents_by_type(spark, sf):
     """Documents by type, method and queue, and how many reach a person."""
     c = F.col("classification")
-    return live_classified(spark, sf).where(c.isNotNull()).groupBy(
+    return passed(spark, sf, "classified").where(c.isNotNull()).groupBy(
         "document_type", c["method"].alias("method"), c["routing_queue"].alias("routing_queue")).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("disposition") == "human_review").alias("n_review"),
         F.round(F.avg(c["confidence"]), 4).alias("mean_confidence"))
