@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from claimflow.functions.fence import settle
-from workload import classify, stages
+from claimflow.operators.meter import call_records, call_summary
+from workload import classify, extract, stages
 
 
 def optimized(df) -> str:
@@ -59,3 +60,12 @@ def test_documents_by_type(spark, orders):
         F.count(F.lit(1)), F.count_if(F.col("disposition") == "human_review"), F.round(F.avg(c["confidence"]), 4))
     assert got == as_rows(by_hand) and len(got) > 5
     assert as_rows(classify.documents_by_type(spark, orders)) == got  # now from the written phase before
+
+
+def test_call_metering_and_model_calls(spark, orders):
+    for query in (extract.call_metering, extract.model_calls):
+        unwritten(spark, orders, query)
+    calls = call_records(stages.extracted(spark, orders))
+    assert as_rows(extract.call_metering(spark, orders)) == as_rows(call_summary(calls))
+    assert as_rows(extract.model_calls(spark, orders)) == as_rows(calls.select(
+        "document_id", "model", "prompt_name", "input_tokens", "cost_usd", "success"))
