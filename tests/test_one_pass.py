@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from claimflow.functions.fence import settle
 from claimflow.operators.meter import call_records, call_summary
-from workload import classify, extract, stages
+from claimflow.operators.report import report_counts, report_means, report_rows
+from workload import classify, decide, extract, stages
 
 
 def optimized(df) -> str:
@@ -69,3 +70,11 @@ def test_call_metering_and_model_calls(spark, orders):
     assert as_rows(extract.call_metering(spark, orders)) == as_rows(call_summary(calls))
     assert as_rows(extract.model_calls(spark, orders)) == as_rows(calls.select(
         "document_id", "model", "prompt_name", "input_tokens", "cost_usd", "success"))
+
+
+def test_report_counts_and_means(spark, orders):
+    counts = unwritten(spark, orders, decide.report_counts)
+    means = unwritten(spark, orders, decide.report_means)
+    records = stages.decided(spark, orders)
+    assert counts == as_rows(report_counts(report_rows(records))) and len(counts) > 10
+    assert means == as_rows(report_means(records)) and means[0][0] == 242

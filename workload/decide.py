@@ -13,7 +13,7 @@ from claimflow.sinks import queue_messages
 from . import sql as S
 from .corpus import table
 from .extract import prose
-from .stages import decided, governed, ingested, live_decided, live_governed
+from .stages import decided, governed, ingested, live_decided, live_governed, passed
 
 
 def check_schema(spark, sf):
@@ -102,11 +102,11 @@ def audit_trail(spark, sf):
 
 
 def report_counts(spark, sf):
-    return rp.report_counts(rp.report_rows(decided(spark, sf)))
+    return rp.report_counts(rp.report_rows(passed(spark, sf, "decided")))
 
 
 def report_means(spark, sf):
-    return rp.report_means(decided(spark, sf))
+    return rp.report_means(passed(spark, sf, "decided"))
 
 
 def stage_latency(spark, sf):
