@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from claimflow.functions.fence import settle
 from claimflow.operators.meter import call_records, call_summary
-from claimflow.operators.report import report_counts, report_means, report_rows
-from workload import classify, decide, extract, stages
+from claimflow.operators.report import build_report, report_counts, report_means, report_rows
+from workload import classify, decide, extract, files, stages
 
 
 def optimized(df) -> str:
@@ -78,3 +78,29 @@ def test_report_counts_and_means(spark, orders):
     records = stages.decided(spark, orders)
     assert counts == as_rows(report_counts(report_rows(records))) and len(counts) > 10
     assert means == as_rows(report_means(records)) and means[0][0] == 242
+
+
+def recorded(spark, orders, monkeypatch, query, name, sf=None):
+    """The query's rows, where all it reads of the phases is one pass up to ``name``."""
+    asked = []
+
+    def passed(spark, sf, name):
+        asked.append(name)
+        return getattr(stages, name)(spark, orders)
+
+    def by_phase(spark, sf):
+        raise AssertionError("reads a phase that is written for it")
+
+    with monkeypatch.context() as m:
+        for module in (decide, extract, files):
+            for other in ("decided", "governed", "extracted", "live_decided"):
+                m.setattr(module, other, by_phase, raising=False)
+            m.setattr(module, "passed", passed)
+        rows = as_rows(query(spark, sf or orders))
+    assert asked == [name]
+    return rows
+
+
+def test_provider_match(spark, orders, tmp_path, monkeypatch):
+    spark.createDataFrame([(k, f"s{k}") for k in range(1, 5)], "s_suppkey bigint, s_name string").write.parquet(f"{tmp_path}/supplier.parquet")
+    assert recorded(spark, orders, monkeypatch, decide.provider_match, "governed", str(tmp_path))
