@@ -104,3 +104,13 @@ def recorded(spark, orders, monkeypatch, query, name, sf=None):
 def test_provider_match(spark, orders, tmp_path, monkeypatch):
     spark.createDataFrame([(k, f"s{k}") for k in range(1, 5)], "s_suppkey bigint, s_name string").write.parquet(f"{tmp_path}/supplier.parquet")
     assert recorded(spark, orders, monkeypatch, decide.provider_match, "governed", str(tmp_path))
+
+
+def test_phases_in_one_pass_and_result_upsert(spark, orders, tmp_path):
+    """Every column of the last phase, in one pass and phase by phase; the upsert writes that phase alone."""
+    sf = str(tmp_path)
+    spark.read.parquet(f"{orders}/orders.parquet").write.parquet(f"{sf}/orders.parquet")
+    got = as_rows(files.result_upsert(spark, sf))
+    assert [name for _, at, name in stages._written if at == sf] == ["decided"]
+    assert as_rows(stages.decided_at_once(spark, sf)) == as_rows(stages.decided(spark, orders))
+    assert len(got) == stages.decided(spark, orders).select("document_id").distinct().count()
