@@ -114,3 +114,7 @@ def test_phases_in_one_pass_and_result_upsert(spark, orders, tmp_path):
     assert [name for _, at, name in stages._written if at == sf] == ["decided"]
     assert as_rows(stages.decided_at_once(spark, sf)) == as_rows(stages.decided(spark, orders))
     assert len(got) == stages.decided(spark, orders).select("document_id").distinct().count()
+
+
+def test_dispatch(spark, orders, monkeypatch):
+    assert len(recorded(spark, orders, monkeypatch, decide.dispatch, "decided")) == 242
