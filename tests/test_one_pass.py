@@ -118,3 +118,15 @@ def test_phases_in_one_pass_and_result_upsert(spark, orders, tmp_path):
 
 def test_dispatch(spark, orders, monkeypatch):
     assert len(recorded(spark, orders, monkeypatch, decide.dispatch, "decided")) == 242
+
+
+def test_prior_auth(spark, orders, monkeypatch):
+    assert recorded(spark, orders, monkeypatch, decide.prior_auth, "decided")
+
+
+def test_denial_appeal(spark, orders, monkeypatch):
+    assert recorded(spark, orders, monkeypatch, decide.denial_appeal, "decided")
+
+
+def test_referral_triage(spark, orders, monkeypatch):
+    assert recorded(spark, orders, monkeypatch, decide.referral_triage, "decided")
