@@ -130,3 +130,11 @@ def test_denial_appeal(spark, orders, monkeypatch):
 
 def test_referral_triage(spark, orders, monkeypatch):
     assert recorded(spark, orders, monkeypatch, decide.referral_triage, "decided")
+
+
+def test_run_report(spark, orders, tmp_path, monkeypatch):
+    spark.createDataFrame([(1, "view", 2.0), (2, "view", 4.0)], "event_id bigint, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = recorded(spark, orders, monkeypatch, files.run_report, "decided", str(tmp_path))
+    timings = spark.read.parquet(f"{tmp_path}/events.parquet").select(F.col("event_type").alias("stage"), F.col("value").alias("ms"))
+    records = stages.decided(spark, orders)
+    assert got == as_rows(build_report(records, call_records(records), timings))
