@@ -138,3 +138,7 @@ def test_run_report(spark, orders, tmp_path, monkeypatch):
     timings = spark.read.parquet(f"{tmp_path}/events.parquet").select(F.col("event_type").alias("stage"), F.col("value").alias("ms"))
     records = stages.decided(spark, orders)
     assert got == as_rows(build_report(records, call_records(records), timings))
+
+
+def test_rules_fallback(spark, orders, monkeypatch):
+    assert recorded(spark, orders, monkeypatch, decide.rules_fallback, "governed")
