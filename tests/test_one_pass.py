@@ -142,3 +142,7 @@ def test_run_report(spark, orders, tmp_path, monkeypatch):
 
 def test_rules_fallback(spark, orders, monkeypatch):
     assert recorded(spark, orders, monkeypatch, decide.rules_fallback, "governed")
+
+
+def test_flatten_fields(spark, orders, monkeypatch):
+    assert len(recorded(spark, orders, monkeypatch, decide.flatten_fields, "governed")) > 100
