@@ -146,3 +146,7 @@ def test_rules_fallback(spark, orders, monkeypatch):
 
 def test_flatten_fields(spark, orders, monkeypatch):
     assert len(recorded(spark, orders, monkeypatch, decide.flatten_fields, "governed")) > 100
+
+
+def test_guardrail_flags(spark, orders, monkeypatch):
+    assert len(recorded(spark, orders, monkeypatch, decide.guardrail_flags, "governed")) > 100
