@@ -150,3 +150,7 @@ def test_flatten_fields(spark, orders, monkeypatch):
 
 def test_guardrail_flags(spark, orders, monkeypatch):
     assert len(recorded(spark, orders, monkeypatch, decide.guardrail_flags, "governed")) > 100
+
+
+def test_ocr_penalty(spark, orders, monkeypatch):
+    assert len(recorded(spark, orders, monkeypatch, extract.ocr_penalty, "extracted")) > 10
